@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_format
+from .packing import op10_packing
 from .pii import op5_pii
 from .quality import op4_quality_rules
+from .simhash import op8_simhash
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_chat_format": op6_chat_format,
+    "op8_simhash": op8_simhash,
+    "op10_packing": op10_packing,
 }
 ORACLES = {
     "op6_chat_format": OP6_SQL,
