@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .chat import OP6_SQL, op6_chat_format
+from .html import op9_html_text
 from .packing import op10_packing
 from .pii import op5_pii
 from .quality import op4_quality_rules
 from .simhash import op8_simhash
+from .substrings import op2_repeated_substrings
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op2_repeated_substrings": op2_repeated_substrings,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_chat_format": op6_chat_format,
     "op8_simhash": op8_simhash,
+    "op9_html_text": op9_html_text,
     "op10_packing": op10_packing,
 }
 ORACLES = {
