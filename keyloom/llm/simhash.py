@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 def masks(n: int) -> list[int]:
     """Signed masks of the bucket keys for n fingerprints."""
-    b = next((b for b in range(RADIUS + 1, 13) if n <= BUCKET << (BITS * (b - RADIUS) // b)), 13)
+    b = next((b for b in range(RADIUS + 2, 13) if n <= BUCKET << (BITS * (b - RADIUS) // b)), 13)
     edges = [BITS * i // b for i in range(b + 1)]
     block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(b)]
     out = [sum(block[i] for i in chosen) for chosen in combinations(range(b), b - RADIUS)]
