@@ -88,8 +88,10 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
     values = measure_values()
     items = F.array(*(F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in values.items()))
     name = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rows = measured.where(~F.col("__base_failed")).select(name(lang).alias("lang"), name(source).alias("source"), F.explode(items).alias("m"))
-    return rows.groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
+    # no filter on the counts: the optimiser would push it below them and compute them again, lambda by lambda
+    some = F.when(~F.col("__base_failed"), items)
+    rows = measured.select(name(lang).alias("lang"), name(source).alias("source"), F.explode_outer(some).alias("m"))
+    return rows.groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n")).where("measure IS NOT NULL")
 
 
 def merge_levels(sketch: DataFrame) -> DataFrame:
@@ -131,7 +133,8 @@ def judged(measured: DataFrame, fence: DataFrame, lang: str = "lang", source: st
         lo, hi = F.col(f"__fence.{k}.lo"), F.col(f"__fence.{k}.hi")
         within &= F.coalesce(v >= lo, F.lit(True)) & F.coalesce(v <= hi, F.lit(True))
     joined = measured.join(f, on, "left")
-    return joined.withColumn("__kept", ~F.col("__base_failed") & within).drop("__lang", "__source", "__fence")
+    # as one value of both sides, for the same reason
+    return joined.withColumn("__kept", F.array_min(F.array(~F.col("__base_failed"), within))).drop("__lang", "__source", "__fence")
 
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -146,3 +146,20 @@ def near_duplicate_components(docs: DataFrame, doc_id: str = "doc_id", text: str
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicate_components(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component: that of least doc_id, and of equal ids the first by a hash of its text.
+
+    Only ids travel: the rows to go are found from (doc_id, hash of the text) and anti-joined. Rows equal in both are one.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), mark.alias("__mark"), F.col(text).alias("__body"))
+    fps = staged(fingerprints(rows, ["__id", "__mark"], "__body"), "simhash-fingerprints")
+    rooted = fps.join(link_components(fps), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rank = F.struct(F.col("__id").isNull().alias("last"), F.col("__id"), F.col("__mark"))
+    firsts = rooted.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.__id").alias("__id"), F.col("first.__mark").alias("__mark"))
+    firsts = staged(firsts, "simhash-firsts")
+    keyed = docs.withColumn("__key", F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")), F.col(doc_id).isNull(), mark))
+    keys = firsts.select(F.struct(F.coalesce("__id", F.lit(0).cast("long")), F.col("__id").isNull(), F.col("__mark")).alias("__key"))
+    return keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
