@@ -49,7 +49,7 @@ def audit(config: TableConfig, attached: list[Segment] | None, default_rows: int
     """attached: None if the table has no catalog; default_rows: None if it has no default child."""
     if attached is None:
         return AuditResult(config.table_name, False, warnings=["table is not partitioned"])
-    days, holes, warnings = horizon_days(attached, today), gaps(attached), []
+    days, holes, warnings = horizon_days(attached, today), gaps([s for s in attached if s.kind != "archive"]), []
     if config.needs_default and default_rows is None:
         warnings.append("default partition is missing")
     if default_rows:
