@@ -4,15 +4,17 @@ Any LENGTH-byte string holds GRAMS = LENGTH - GRAM + 1 grams of GRAM bytes; the
 and depends on the string alone. So equal strings have equal anchors, and:
 
 1. Copies of a whole text keep their first document; every other is repeated from end to end.
-2. Anchors of the first documents are dealt by hash. An anchor that stands once covers no repeated string.
-3. Strings of the other anchors go, as contexts, to the task of their anchor and of the bytes beside it that they all hold
-   (those right of the anchor for strings that start near it, left for the rest), so a frequent line is no hot key.
+2. Anchors of the first documents are dealt by hash, each with a hash of its context, the bytes of the strings it anchors.
+   An anchor that stands once covers no repeated string; of equal contexts all but the first are repeated throughout, and
+   no byte of them has to travel.
+3. The first of each context goes, where its anchor has several, to the task of its anchor. An anchor of more than HOT
+   contexts is dealt by the bytes beside it too: those right of it for strings that start near it, left for the rest.
 4. A task sorts the suffixes of its contexts in two stages: suffixes smaller than their successors are sorted directly, the
    rest induced by scanning the buckets; adjacent suffixes with a common prefix of LENGTH are repeats, all but the first.
 5. Repeats return to their documents as byte ranges.
 
-Texts are shuffled once (both joins reuse that exchange). A task holds one chunk of contexts; equal contexts collapse as
-they stream by, so a thousand copies of a passage cost one.
+Texts are shuffled once (the joins reuse that exchange). A task holds one chunk of contexts; a thousand copies of a passage
+cost one context and a thousand rows of four longs.
 
 Defined results: null text is empty; texts under LENGTH bytes stay whole; rows of one doc_id are ordered by a hash of
 their text, and equal rows of one doc_id are one document, returned for each row; null doc_id counts as the least; an
@@ -35,12 +37,19 @@ LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1
 #: Strings whose anchor lies up to so far from their start hold the bytes right of it up to BESIDE; the others those left of it.
 NEAR = (LENGTH - GRAM) // 2
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+HOT = 500
+#: Texts whose anchors or remains a worker holds at once.
+ROWS = 500
 _LEAST = -(1 << 63)
 _rng = np.random.Generator(np.random.PCG64(20))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = {n: np.uint64(int(_rng.integers(1, 1 << 62)) * 2 + 1) for n in (1, 2, 4, 8, 16)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_POWER = int(_rng.integers(1, 1 << 61)) * 8 + 5
+_INVERSE = pow(_POWER, -1, 1 << 64)
+#: A place packs the tie (25 bits), the start of its first string (31) and the number of its strings (7).
+_AT_SHIFT, _TIE_SHIFT, _TIE_BITS = 7, 38, 25
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -159,48 +168,65 @@ def _data(text) -> np.ndarray:
     return np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _context_hashes(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of the n strings from each of the places `first`, by differences of a running polynomial."""
+    size = len(data)
+    up = _powers(_POWER, size)
+    down = _powers(_INVERSE, size)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:size], dtype=np.uint64)))
+    h = (total[first + n + LENGTH - 1] - total[first]) * down[first] + n.astype(np.uint64) * _MIX
+    h ^= h >> np.uint64(31)
+    return h * _MIX
+
+
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tie, text) -> (h, id, tie, at): every anchor once."""
-    for batch in batches:
-        hs, ids, ties, places = [], [], [], []
-        for i, (key, tie, text) in enumerate(zip(batch.column(0), batch.column(1), batch.column(2))):
+    """(id, tie, text) -> (h, ctx, id, place) for every anchor; place packs the tie, the first string's start and their number."""
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        columns: list[list] = [[], [], [], []]
+        for key, tie, text in zip(batch.column(0), batch.column(1), batch.column(2)):
             data = _data(text)
             if len(data) >= LENGTH:
                 h, at = anchors(data)
-                at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-                hs.append(h[at].view(np.int64))
-                ids.append(np.full(len(at), key.as_py(), np.int64))
-                ties.append(np.full(len(at), tie.as_py(), np.int32))
-                places.append(at)
-        if hs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ids, ties, places)], names=["h", "id", "tie", "at"])
+                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                n = np.diff(np.concatenate((first, [len(at)])))
+                place = (np.int64(tie.as_py()) << np.int64(_TIE_SHIFT)) | (first.astype(np.int64) << np.int64(_AT_SHIFT)) | n
+                for c, x in zip(columns, (h[at[first]].view(np.int64), _context_hashes(data, first, n).view(np.int64), np.full(len(n), key.as_py(), np.int64), place)):
+                    c.append(x)
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["h", "ctx", "id", "place"])
 
 
 _CONTEXT = "key long, id long, tie int, start int, n int, context binary"
 
 
 def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tie, text, places) -> for each of the places, its strings near and far from their start."""
+    """(id, tie, text, list of (h, place, hot)) -> the contexts, those of hot anchors split by what lies beside the anchor."""
     names = ["key", "id", "tie", "start", "n", "context"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for key, tie, text, places in zip(*(batch.column(i) for i in range(4))):
-            data = _data(text)
-            if len(data) < LENGTH:
-                continue
-            h, at = anchors(data)
-            raw, k, x = data.tobytes(), key.as_py(), tie.as_py()
-            wanted = np.unique(np.array(places.as_py(), np.int32))
-            lo, hi = np.searchsorted(at, wanted), np.searchsorted(at, wanted, "right")
-            split = np.clip(wanted - NEAR, lo, hi)  # strings from here on hold the bytes right of the anchor
-            for p, a, m, b in zip(wanted.tolist(), lo.tolist(), split.tolist(), hi.tolist()):
-                for one, two, beside in ((a, m, raw[p - NEAR - 1 : p]), (m, b, raw[p + GRAM : p + LENGTH - NEAR])):
-                    if one < two:
-                        deal = int.from_bytes(hashlib.blake2b(beside + raw[p : p + GRAM], digest_size=8, person=b"l" if two == m and one == a else b"r").digest(), "little", signed=True)
-                        rows.append((deal, k, x, one, two - one, raw[one : two + LENGTH - 1]))
-                        size += two - one + LENGTH
+            raw, k, x = (text.as_py() or "").encode("utf-8", "surrogatepass"), key.as_py(), tie.as_py()
+            for one in places.as_py():
+                first, n = one["place"] >> _AT_SHIFT & (1 << 31) - 1, one["place"] & (1 << _AT_SHIFT) - 1
+                context = raw[first : first + n + LENGTH - 1]
+                if not one["hot"]:
+                    rows.append((one["h"], k, x, first, n, context))
+                else:
+                    p = first + int(anchors(np.frombuffer(context[:LENGTH], np.uint8))[1][0])
+                    split = min(max(p - NEAR, first), first + n)  # strings from here on hold the bytes right of the anchor
+                    for a, b, side, beside in ((first, split, b"l", raw[max(0, p - NEAR - 1) : p]), (split, first + n, b"r", raw[p + GRAM : p + LENGTH - NEAR])):
+                        if a < b:
+                            deal = hashlib.blake2b(beside + raw[p : p + GRAM], digest_size=8, person=side).digest()
+                            rows.append((int.from_bytes(deal, "little", signed=True), k, x, a, b - a, raw[a : b + LENGTH - 1]))
+                size += n + LENGTH
             if size > CHUNK:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
                 rows, size = [], 0
@@ -262,7 +288,7 @@ def _emit_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, copy, ranges) -> the result and the kept bytes."""
-    for batch in batches:
+    for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         rows = []
         for doc, text, copy, ranges in zip(*(batch.column(i) for i in range(4))):
             data, spans = (text.as_py() or "").encode("utf-8", "surrogatepass"), []
@@ -285,25 +311,31 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row; kept is binary, as a cut may split a character."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.pmod(F.xxhash64("text"), F.lit(1 << 31)).cast("int").alias("tie"), "doc_id", "text")
+    # both keys are never null by type: else an inner join filters its texts for that, and can't reuse the other joins' exchange
+    keyed = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << _TIE_BITS)).cast("int"), F.lit(0)).alias("tie"), "text")
     digests = keyed.select("id", "tie", F.sha2("text", 256).alias("digest")).distinct()
     firsts = digests.groupBy("digest").agg(F.min(F.struct("id", "tie")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = digests.join(firsts, "digest").where(F.struct("id", "tie") != F.col("first")).select("id", "tie")
     copies = staged(copies.withColumn("copy", F.lit(True)), "repeats-copies")
 
-    texts = keyed.select("id", "tie", "doc_id", "text")
-    single = texts.join(copies.hint("shuffle_hash"), ["id", "tie"], "left_anti").select("id", "tie", "text")
-    placed = single.mapInArrow(_emit_anchors, "h long, id long, tie int, at int")
-    shared = placed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("n > 1")
-    lists = shared.groupBy("id", "tie").agg(F.collect_set("at").alias("places"))
-    contexts = texts.join(lists.hint("shuffle_hash"), ["id", "tie"])
-    dealt = contexts.select("id", "tie", "text", "places").mapInArrow(_emit_contexts, _CONTEXT)
+    texts = keyed.select("id", "tie", "text")
+    single = texts.join(copies.select("id", "tie").hint("shuffle_hash"), ["id", "tie"], "left_anti")
+    placed = single.mapInArrow(_emit_anchors, "h long, ctx long, id long, place long")
+    anchor, context = Window.partitionBy("h"), Window.partitionBy("h", "ctx").orderBy("id", "place")
+    placed = placed.repartition("h")  # serves both windows
+    placed = placed.withColumn("first", (F.row_number().over(context) == 1).cast("int")).withColumn("contexts", F.sum("first").over(anchor))
+    ends = [(F.shiftright("place", _AT_SHIFT).bitwiseAND(F.lit((1 << 31) - 1))).cast("int"), F.col("place").bitwiseAND(F.lit((1 << _AT_SHIFT) - 1)).cast("int")]
+    tie = F.shiftright("place", _TIE_SHIFT).cast("int").alias("tie")
+    whole = placed.where("first = 0").select("id", tie, ends[0].alias("start"), (ends[0] + ends[1] + (LENGTH - 1)).alias("stop"))
+    lists = placed.where("first = 1 AND contexts > 1").select("id", tie, F.struct("h", "place", (F.col("contexts") > HOT).alias("hot")).alias("p")).groupBy("id", "tie").agg(F.collect_list("p").alias("places"))
+    dealt = texts.join(lists.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "places").mapInArrow(_emit_contexts, _CONTEXT)
     dealt = dealt.repartition("key").sortWithinPartitions("key", "context", "id", "tie", "start")
-    ranges = dealt.mapInArrow(_emit_repeats, "id long, tie int, start int, stop int")
+    ranges = dealt.mapInArrow(_emit_repeats, "id long, tie int, start int, stop int").union(whole)
     found = ranges.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"), F.lit(False).alias("copy"))
     marks = found.select("id", "tie", "ranges", "copy").union(copies.select("id", "tie", F.lit(None).cast("array<struct<start:int,stop:int>>"), "copy"))
     joined = texts.join(marks.hint("shuffle_hash"), ["id", "tie"], "left")
-    return joined.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_removal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    doc = F.when(F.col("id") != _LEAST, F.col("id")).alias("doc_id")
+    return joined.select(doc, "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_removal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
