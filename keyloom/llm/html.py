@@ -3,9 +3,11 @@
 Markup is stripped to lines, one for each block element, with the parts that never hold the article (scripts, styles,
 forms, menus, headers, footers, sidebars, notices, adverts, comments, by element or by the words of class, id and role)
 measured as empty lines. The text lengths in sliding windows of WINDOW lines form a curve; where it rises from nothing is a
-surge, where it falls back to nothing is a dive, and the text between belongs to the page's main part. Where the page names its
-article (article, main, or a body of that role), only lines inside count. Without one, the region with most text is the
-article, and regions that hold at least SHARE of its text join it.
+surge, where it falls back to nothing is a dive. The main part is the span from the first surge to the last dive, without the
+lines of the parts above. Where the page names its article (article, main, or a body of that role), only lines inside count.
+
+So markup decides which lines are text, and the curve does not: each line of text raises it, and no amount of text is too
+small to stay, be it cut off from the rest by a menu or an advert.
 
 Defined results: null, blank or markup-only pages give an empty text; unclosed and misnested elements end with their parent;
 unended comments, scripts and tags end with the page; repeated rows are extracted each; extra columns are ignored.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .base import read
 
-WINDOW, SHARE = 3, 0.5
+WINDOW = 3
 #: Elements whose content is text of no page, whatever it holds.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "noembed", "noframes"}
 #: Elements that never hold the article.
@@ -138,10 +140,8 @@ def main_text(page: str | None) -> str:
     taken = [not beside and (inside or not marked) for _, beside, inside in lines]
     lengths = np.array([len(text) if ok else 0 for (text, _, _), ok in zip(lines, taken)], np.int64)
     found = regions(lengths)
-    if not marked and found:
-        mass = [int(lengths[a:b].sum()) for a, b in found]
-        found = [r for r, n in zip(found, mass) if n >= SHARE * max(mass)]
-    return "\n".join(text for a, b in found for (text, _, _), ok in zip(lines[a:b], taken[a:b]) if ok)
+    first, last = (found[0][0], found[-1][1]) if found else (0, 0)
+    return "\n".join(text for (text, _, _), ok in zip(lines[first:last], taken[first:last]) if ok)
 
 
 def extract(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
