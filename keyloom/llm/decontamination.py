@@ -2,7 +2,8 @@
 
 A document leaks an item if one of its windows, as long as the item in words, has a weighted (multiset) Jaccard similarity
 of SIMILARITY or more on 5-word shingles of lower-cased words. An item or a document of fewer than five words has one
-shingle, the whole; a document shorter than the item has one window, the whole.
+shingle, the whole; a document shorter than the item has one window, the whole. An item of fewer than five words is leaked
+by each window of as many words that equals it; its similarity is one.
 
 1. Anchors. Two shingle multisets of n can only be that similar if they share all but a few; so a window must hold one of
    the item's rarest PREFIX shingles. Documents' shingle hashes meet those of the items, and only windows over a hit go on.
@@ -21,6 +22,8 @@ once for each doc_id; extra columns are ignored, and kept by `drop_leaks`; empty
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -86,9 +89,29 @@ def prefixes(items: DataFrame) -> DataFrame:
     return rows.withColumn("before", before).where("before <= n - need").select("h", "item_id")
 
 
+def short_leaks(texts: DataFrame, short: DataFrame, few: bool) -> DataFrame:
+    """leaks of the items of fewer than SHINGLE words (rows of prepared_items) in texts (doc_id, text)."""
+    parts = []
+    hashed = texts.withColumn("__w", F.transform(words(F.lower(F.col("text"))), lambda x: F.xxhash64(x))).drop("text")
+    for (k,) in short.select("n_words").distinct().collect():  # at most SHINGLE - 1
+
+        def chain(x: Column, i: Column, k: int = k) -> Column:
+            h = F.xxhash64(F.lit(7).cast("long"), x)
+            for j in range(1, k):
+                h = F.xxhash64(h, F.get("__w", i + j))
+            return h
+
+        windows = F.transform(F.slice("__w", 1, F.greatest(F.size("__w") - k + 1, F.lit(0))), lambda x, i: chain(x, i))
+        keys = short.where(F.col("n_words") == k).select("item_id", F.element_at("shingles", 1).alias("h"))
+        met = hashed.select("doc_id", F.posexplode_outer(windows).alias("at", "h")).join(F.broadcast(keys) if few else keys, "h")
+        parts.append(met.groupBy("doc_id", "item_id").agg(F.min("at").cast("long").alias("start")).withColumn("similarity", F.lit(1.0)))
+    return reduce(DataFrame.union, parts)
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, similarity): the most similar window of each leaked item in each document, the first of equals."""
-    ready = staged(prepared_items(items), "leaks-items")
+    prepared = staged(prepared_items(items), "leaks-items")
+    ready, short = prepared.where(F.col("n_words") >= SHINGLE), prepared.where(F.col("n_words") < SHINGLE)
     keys = staged(prefixes(ready), "leaks-prefixes")
     most = ready.agg(F.coalesce(F.max(F.size("shingles")), F.lit(0))).first()[0]
     lane = next(b for b in (8, 16, 32) if most < 1 << (b - 2))
@@ -128,7 +151,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     shared = overlap(F.col("own"), F.col("counts"))
     scored = near.withColumn("o", shared).withColumn("similarity", F.col("o") / (F.size("own") + F.size("shingles") - F.col("o")))
     best = scored.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
-    return best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
+    long = best.select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
+    if short.isEmpty():
+        return long
+    return long.union(short_leaks(texts, short, fits_broadcast(short, MAX_BROADCAST)))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,8 +1,29 @@
 """Cases in which an operator once did less than the whole job."""
 
-from keyloom.llm import html
+from collections import Counter
+
+from keyloom.llm import decontamination, html
+
+DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
 
 def test_menu_cuts_no_text_off():
     page = "<div><h1>T</h1><p>short intro</p><ul class=menu><li>a<li>b<li>c</ul><p>" + "long " * 80 + "</p><div class=ads><p>x<p>y<p>z</div><p>end</p></div>"
     assert html.main_text(page) == "T\nshort intro\n" + ("long " * 80).strip() + "\nend"
+
+
+def test_short_items_leak_inside_long_documents(spark):
+    items = [(1, "one"), (2, "Two words"), (3, "now three words"), (4, "these are four words"), (5, "five words are in here"), (6, "one"), (7, None), (8, "")]
+    texts = ["a b c d e f one g", "one", "two WORDS", "x two words y z q r s", "now three", "a now three words", "these are four words", "p q these are four words r s", "these are four", "so five words are in here now", None, "", "one one b c d e f one"]
+    want = {}
+    for d, t in enumerate(texts):
+        w = (t or "").lower().split()
+        for i, x in items:
+            v = (x or "").lower().split()
+            windows = [w[k : k + len(v)] for k in range(max(1, len(w) - len(v) + 1))] if v and w else []
+            for k, own in enumerate(windows):
+                a, b = (Counter(tuple(y[j : j + 5]) for j in range(max(1, len(y) - 4))) for y in (own, v))
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    want.setdefault((d, i), k)
+    out = decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id): r.start for r in out} == want and (0, 1) in want and all(r.similarity == 1 for r in out) and len(out) == len(want)
