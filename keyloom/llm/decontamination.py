@@ -17,7 +17,7 @@ The shingles of items are broadcast only while there are at most MAX_BROADCAST o
 are the hits. A passage that a third of all documents hold makes a row for each of them, dealt by document.
 
 Defined results: null texts have no words and leak nothing, null items match nothing; repeated rows of a document count
-once for each doc_id; extra columns are ignored, and kept by `drop_leaks`; empty tables give an empty result.
+once for each doc_id, and rows of null doc_id are rows of one document; extra columns are ignored, and kept by `drop_leaks`; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -125,10 +125,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     found = staged(found, "leaks-hits")
 
     # the shingles of the documents with a hit, again: their texts are read once more instead of shuffling all hashes
-    with_hits = found.select("doc_id").distinct()
-    again = texts.join(F.broadcast(with_hits) if fits_broadcast(with_hits, MAX_BROADCAST) else with_hits, "doc_id", "left_semi")
+    with_hits = found.select(F.col("doc_id").alias("hit_id")).distinct()
+    again = texts.join(F.broadcast(with_hits) if fits_broadcast(with_hits, MAX_BROADCAST) else with_hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
     pairs = with_shingles(again.distinct(), "text", "n_words", "shingles").withColumnRenamed("n_words", "doc_words").withColumnRenamed("shingles", "doc_shingles").drop("text")
-    pairs = pairs.join(found, "doc_id").join(F.broadcast(ready) if few else ready, "item_id")
+    found = found.withColumnRenamed("doc_id", "hit_id")
+    pairs = pairs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id"))).drop("hit_id").join(F.broadcast(ready) if few else ready, "item_id")
     # a window of m shingles over hit p starts at p - m + 1 to p, within the document
     m = F.least(F.size("shingles"), F.size("doc_shingles"))
     last = F.size("doc_shingles") - m
@@ -161,7 +162,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """docs without the documents that leak an item. Rows of null doc_id are judged together and kept if none leaks."""
     bad = staged(leaks(docs, items, doc_id, text).select(F.col("doc_id").alias("__bad")).distinct(), "leaks-documents")
     bad = F.broadcast(bad) if fits_broadcast(bad, MAX_BROADCAST) else bad
-    return docs.join(bad, F.col(doc_id).cast("long") == F.col("__bad"), "left_anti")
+    return docs.join(bad, F.col(doc_id).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

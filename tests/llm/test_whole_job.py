@@ -27,3 +27,15 @@ def test_short_items_leak_inside_long_documents(spark):
                     want.setdefault((d, i), k)
     out = decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert {(r.doc_id, r.item_id): r.start for r in out} == want and (0, 1) in want and all(r.similarity == 1 for r in out) and len(out) == len(want)
+
+
+def test_documents_without_id_are_judged(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    items = spark.createDataFrame([(1, item), (2, "two words")], ITEMS)
+    clean = [(None, "nothing to see here at all"), (3, "a b c d e f")]
+    for leak in (f"x y z {item} x y", "some two words in a row here"):
+        docs = spark.createDataFrame([*clean, (None, leak), (4, leak)], DOCS)
+        assert {r.doc_id for r in decontamination.leaks(docs, items).collect()} == {None, 4}
+        assert [r.doc_id for r in decontamination.drop_leaks(docs, items).collect()] == [3]
+    docs = spark.createDataFrame([*clean, (4, f"x y z {item} x y")], DOCS)
+    assert {r.doc_id for r in decontamination.drop_leaks(docs, items).collect()} == {None, 3}
