@@ -5,8 +5,8 @@ lack. Each window of a text is compressed with the ordinary dictionary and with
 saves are the window's distance. How many windows pass each of a ladder of thresholds, calibrated by a logistic
 regression on labelled documents that the dictionaries have not seen, is the document's score.
 
-The fit uses a bounded sample: at most SAMPLE[label] labelled documents of each label, the first by a hash of their id, and
-at most SAMPLE_CHARS code points of each. Scoring reads every text whole, in windows; its memory is a chunk of windows.
+The fit uses a bounded sample: at most SAMPLE[label] labelled documents of each label, the first by a hash of their id, each
+whole, as scoring reads them. Scoring goes through a text in windows; its memory is a chunk of windows.
 
 Defined results: null, blank and empty texts have no window and get the score that calibration gives to no evidence; a
 document with several labels counts as toxic if any says so; without labels of both kinds every score is the share of
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .base import read
 
 WINDOW, STRIDE, GRAM, CHUNK = 4, 2, 5, 8192
-SAMPLE, SAMPLE_CHARS = {0: 6000, 1: 2000}, 20_000
+SAMPLE = {0: 6000, 1: 2000}
 #: Calibration sees each sampled document under dictionaries trained on the other folds; the final ones train on all.
 FOLDS = 3
 #: A gram is telling if its share of toxic texts is so many times its share of ordinary texts.
@@ -75,7 +75,7 @@ def train_dictionaries(ordinary: list[list[bytes]], toxic: list[list[bytes]]) ->
         own = [w for w in ws if not telling.isdisjoint(_grams(w))]
         samples += [b" " + b" ".join(own[i : i + 4]) + b" " for i in range(0, len(own), 4)]
     plain = [w for ws in ordinary for chunk in windows_of(ws) for w in chunk[::2]]
-    return trained(plain[: 400_000], ORDINARY_BYTES), trained(samples, TOXIC_BYTES, k=SEGMENT, d=DMER)
+    return trained(plain, ORDINARY_BYTES), trained(samples, TOXIC_BYTES, k=SEGMENT, d=DMER)
 
 
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
@@ -171,7 +171,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray] | float:
-    """A model from labelled documents. labels: doc_id, toxic. The sample is bounded by SAMPLE and SAMPLE_CHARS."""
+    """A model from labelled documents. labels: doc_id, toxic. The sample is bounded by SAMPLE."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r[0]: r[1] for r in known.groupBy((F.col("toxic") != 0).cast("int")).count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
@@ -179,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, np.ndarray]
     for label, n in SAMPLE.items():
         some = known.where((F.col("toxic") != 0) == bool(label)).select("doc_id", F.lit(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = some if picked is None else picked.union(some)
-    text = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    text = docs.select("doc_id", "text")
     sample = text.join(F.broadcast(picked), "doc_id").collect()  # at most sum(SAMPLE) ids
     sample.sort(key=lambda r: (hash((r.doc_id * 2654435761) % (1 << 32)), r.doc_id, r.text or ""))
     return fit([(r.text, r.y) for r in sample], share)

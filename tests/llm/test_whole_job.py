@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from keyloom.llm import decontamination, html
+from keyloom.llm import decontamination, html, toxicity
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -39,3 +39,15 @@ def test_documents_without_id_are_judged(spark):
         assert [r.doc_id for r in decontamination.drop_leaks(docs, items).collect()] == [3]
     docs = spark.createDataFrame([*clean, (4, f"x y z {item} x y")], DOCS)
     assert {r.doc_id for r in decontamination.drop_leaks(docs, items).collect()} == {None, 3}
+
+
+def test_fit_reads_whole_texts_and_all_windows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda sample, share: seen.extend(sample) or share)
+    text = "word " * 9000 + "end"
+    toxicity.learn(spark.createDataFrame([(1, text), (2, "x")], DOCS), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
+    assert sorted(seen) == [(text, 1), ("x", 0)]
+    trained = []
+    monkeypatch.setattr(toxicity.zstd, "train_dictionary", lambda size, samples, **how: trained.append(samples) or toxicity.zstd.ZstdCompressionDict(b"x" * 64))
+    toxicity.train_dictionaries([[b"a"] * 8] * 250_000 + [[b"last"] * 8], [[b"b"] * 8])
+    assert len(trained[0]) == 2 * 250_001 and b"last" in trained[0][-1]
