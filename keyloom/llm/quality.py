@@ -9,8 +9,13 @@ so sketches merge exactly, in any order and on any partitioning, and every quant
 2 ** -(SKETCH_BITS - 1). A hot source is no hot key: counts are summed before the shuffle, and a group has a bounded
 number of buckets.
 
+A fence stands `factor` spreads from the median, a spread being the distance between two quantiles; no cutoff is a constant.
+A group's median and spread are drawn to those of its language, and these to the corpus's, as if the merged sketch held
+PRIOR documents of the group: smoothly, so a group's size switches nothing.
+
 Defined results: null text has no words and is rejected; null lang or source counts as the empty name; repeated rows are
-judged (and counted) each; an empty table gives an empty result; other columns pass through `filter_quality` untouched.
+judged (and counted) each; an empty table gives an empty result; other columns, of any name, pass through `filter_quality`
+untouched.
 """
 
 from __future__ import annotations
@@ -22,14 +27,16 @@ from pyspark.sql import Window
 from .base import SPACES, read, staged, words
 
 SKETCH_BITS = 8
-#: A group with fewer documents takes the merged sketch of its language, and that of the corpus if the language has fewer.
-MIN_GROUP = 100
-#: measure: (lower fence?, upper fence?, interquartile ranges to the fence, least distance of a fence from the quartile)
-#: Measures are in thousandths. The distances keep a group of uniform texts from rejecting small deviations.
+#: Documents that the merged sketch of the level above counts for.
+PRIOR = 200
+#: measure: (lower fence?, upper fence?, the two percentiles whose distance is the spread, spreads from the median to a fence)
+#: Symbols a word and repeated lines a line are in percent, so less than one in a hundred counts as none; characters a word
+#: in hundredths. Symbols are judged by the upper quartile, as most texts have none; repeated lines by the highest percentile,
+#: as some sound texts have a few.
 RULES = {
-    "symbols": (False, True, 3, 30),
-    "dup_lines": (False, True, 3, 450),
-    "word_length": (True, True, 6, 2500),
+    "symbols": (False, True, 50, 75, 4),
+    "dup_lines": (False, True, 50, 99, 3),
+    "word_length": (True, True, 25, 75, 8),
 }
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -72,8 +79,8 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def measure_values() -> dict[str, Column]:
-    """The judged measures of one document, in thousandths."""
-    per = lambda a, b: F.expr(f"1000 * __{a} div greatest(__{b}, 1)")
+    """The judged measures of one document."""
+    per = lambda a, b: F.expr(f"100 * __{a} div greatest(__{b}, 1)")
     return {"symbols": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines"), "word_length": per("word_chars", "n_words")}
 
 
@@ -83,14 +90,14 @@ def bucket(v: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", v, low), low)
 
 
-def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n) over the documents that pass the base rules: the mergeable sketches."""
     values = measure_values()
     items = F.array(*(F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in values.items()))
     name = lambda c: F.coalesce(F.col(c), F.lit(""))
     # no filter on the counts: the optimiser would push it below them and compute them again, lambda by lambda
     some = F.when(~F.col("__base_failed"), items)
-    rows = measured.select(name(lang).alias("lang"), name(source).alias("source"), F.explode_outer(some).alias("m"))
+    rows = measured.select(name("lang").alias("lang"), name("source").alias("source"), F.explode_outer(some).alias("m"))
     return rows.groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n")).where("measure IS NOT NULL")
 
 
@@ -104,51 +111,77 @@ def fences(sketch: DataFrame) -> DataFrame:
     """One row for each (lang, source) of the sketches: lang, source and `fence`, measure -> (lo, hi)."""
     group = Window.partitionBy("level", "lang", "source", "measure")
     ranked = merge_levels(sketch).withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
-    quantile = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("total"), F.col("bucket")))
-    quarts = ranked.groupBy("level", "lang", "source", "measure").agg(F.max("total").alias("total"), quantile(25).alias("q1"), quantile(75).alias("q3"))
-    lo = hi = F.lit(None).cast("long")
-    for k, (lower, upper, factor, least) in RULES.items():
-        reach = F.greatest(F.lit(least).cast("long"), factor * (F.col("q3") - F.col("q1")))
-        lo = F.when(F.col("measure") == k, F.col("q1") - reach if lower else F.lit(None).cast("long")).otherwise(lo)
-        hi = F.when(F.col("measure") == k, F.col("q3") + reach if upper else F.lit(None).cast("long")).otherwise(hi)
-    table = quarts.withColumn("lo", lo).withColumn("hi", hi)
-    by_measure = table.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"), *(F.max(F.when(F.col("measure") == k, F.struct("lo", "hi"))).alias(k) for k in RULES)
-    )
-    fence = F.struct(*RULES)
-    own = by_measure.where("level = 0").select("lang", "source", F.col("total").alias("n0"), fence.alias("f0"))
-    lang = by_measure.where("level = 1").select("lang", F.col("total").alias("n1"), fence.alias("f1"))
-    top = by_measure.where("level = 2").select(fence.alias("f2"))
-    joined = own.join(lang, "lang").join(F.broadcast(top))  # one row: the corpus
-    pick = F.when(F.col("n0") >= MIN_GROUP, F.col("f0")).when(F.col("n1") >= MIN_GROUP, F.col("f1")).otherwise(F.col("f2"))
-    return joined.select("lang", "source", pick.alias("fence"))
-
-
-def judged(measured: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    percents = sorted({50, *(q for rule in RULES.values() for q in rule[2:4])})
+    quantiles = [F.min(F.when(100 * F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(f"q{q}") for q in percents]
+    table = ranked.groupBy("level", "lang", "source", "measure").agg(F.max("total").alias("n"), *quantiles)
+    spread = F.lit(None).cast("long")
+    for k, (_, _, low, high, factor) in RULES.items():
+        spread = F.when(F.col("measure") == k, factor * (F.col(f"q{high}") - F.col(f"q{low}"))).otherwise(spread)
+    table = table.select("level", "lang", "source", "measure", "n", F.col("q50").alias("c"), spread.alias("r"))
+    own, lang, top = (table.where(F.col("level") == k).drop("level") for k in (0, 1, 2))
+    drawn = lambda x, y, n: F.expr(f"({n} * {x} + {PRIOR} * {y}) div ({n} + {PRIOR})")
+    top = top.select("measure", F.col("c").alias("c2"), F.col("r").alias("r2"))
+    lang = lang.join(F.broadcast(top), "measure")  # a row for each measure
+    lang = lang.select("lang", "measure", drawn("c", "c2", "n").alias("c1"), drawn("r", "r2", "n").alias("r1"))
+    own = own.join(lang, ["lang", "measure"]).select("lang", "source", "measure", drawn("c", "c1", "n").alias("c"), drawn("r", "r1", "n").alias("r"))
+    ends = {k: F.struct((F.col("c") - F.col("r") if rule[0] else F.lit(None).cast("long")).alias("lo"), (F.col("c") + F.col("r") if rule[1] else F.lit(None).cast("long")).alias("hi")) for k, rule in RULES.items()}
+    return own.groupBy("lang", "source").agg(F.struct(*(F.max(F.when(F.col("measure") == k, x)).alias(k) for k, x in ends.items())).alias("fence"))
+
+
+def judged(measured: DataFrame, fence: DataFrame) -> DataFrame:
     """measured with `__kept`, by joining each row with its group's fences."""
     f = fence.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("fence").alias("__fence"))
-    on = (F.coalesce(F.col(lang), F.lit("")) == F.col("__lang")) & (F.coalesce(F.col(source), F.lit("")) == F.col("__source"))
+    on = (F.coalesce("lang", F.lit("")) == F.col("__lang")) & (F.coalesce("source", F.lit("")) == F.col("__source"))
     within = F.lit(True)
     for k, v in measure_values().items():
         lo, hi = F.col(f"__fence.{k}.lo"), F.col(f"__fence.{k}.hi")
         within &= F.coalesce(v >= lo, F.lit(True)) & F.coalesce(v <= hi, F.lit(True))
     joined = measured.join(f, on, "left")
-    # as one value of both sides, for the same reason
+    # as one value of both sides: no filter stands on the measures
     return joined.withColumn("__kept", F.array_min(F.array(~F.col("__base_failed"), within))).drop("__lang", "__source", "__fence")
 
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that pass the base rules and their group's fences, with the columns of docs."""
-    measured = with_measures(docs, text)
-    fence = staged(fences(sketches(measured, lang, source)), "quality-fences")
-    return judged(measured, fence, lang, source).where("__kept").select(*docs.columns)
+    """The rows of docs that pass the base rules and their group's fences, with the columns of docs.
+
+    Each row travels as one struct, so no column's name can clash; the measures are computed once and staged beside it.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    measured = staged(with_measures(rows).drop("text"), "quality-measures")
+    fence = staged(fences(sketches(measured)), "quality-fences")
+    return judged(measured, fence).where("__kept").select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
-    docs = read(spark, sf_dir, "documents")
-    measured = staged(with_measures(docs).select("doc_id", "lang", "source", "__n_lines", *(f"__{c}" for c in BASE_COLUMNS), "__base_failed"), "quality-measures")
-    fence = fences(sketches(measured))
-    return judged(measured, fence).select(
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    measured = staged(with_measures(docs).drop("text"), "quality-measures")
+    return judged(measured, staged(fences(sketches(measured)), "quality-fences")).select(
         "doc_id", *(F.col(f"__{c}").alias(c) for c in BASE_COLUMNS), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept")
     )
+
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_PER = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "word_length": ("word_chars", "n_words")}
+_RULE_ROWS = ", ".join(f"('{k}', {low}, {high}, {factor}, {str(lower).lower()}, {str(upper).lower()})" for k, (lower, upper, low, high, factor) in RULES.items())
+OP4_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '{_WORD}') AS ws, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM t),
+tri AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS x FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+m AS (SELECT w.r, doc_id, lang, source, len(ws) AS n_words, coalesce(CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT), 0) AS word_chars,
+  len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep ON rep.r = w.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS ({" UNION ALL ".join(f"SELECT r, lang, source, base_failed, '{k}' AS measure, CAST(100 * {x} // greatest({y}, 1) AS BIGINT) AS v FROM b" for k, (x, y) in _PER.items())}),
+k AS (SELECT lang, source, measure, (v >> s) << s AS bucket FROM (SELECT *, greatest(0, length(ltrim(bin(v), '0')) - {SKETCH_BITS}) AS s FROM v WHERE NOT base_failed)),
+h AS (SELECT level, l, g, measure, bucket, count(*) AS n FROM (SELECT 0 AS level, lang AS l, source AS g, * FROM k UNION ALL SELECT 1, lang, '', * FROM k UNION ALL SELECT 2, '', '', * FROM k) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, l, g, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, l, g, measure) AS total FROM h),
+rules(measure, low, high, factor, lower, upper) AS (VALUES {_RULE_ROWS}),
+q AS (SELECT level, l, g, measure, CAST(max(total) AS BIGINT) AS n, min(bucket) FILTER (100 * upto >= 50 * total) AS c, max(factor) * (min(bucket) FILTER (100 * upto >= high * total) - min(bucket) FILTER (100 * upto >= low * total)) AS d
+  FROM c JOIN rules USING (measure) GROUP BY level, l, g, measure),
+q1 AS (SELECT a.l, a.measure, (a.n * a.c + {PRIOR} * z.c) // (a.n + {PRIOR}) AS c, (a.n * a.d + {PRIOR} * z.d) // (a.n + {PRIOR}) AS d FROM q a JOIN q z ON a.level = 1 AND z.level = 2 AND a.measure = z.measure),
+q0 AS (SELECT a.l, a.g, a.measure, (a.n * a.c + {PRIOR} * z.c) // (a.n + {PRIOR}) AS c, (a.n * a.d + {PRIOR} * z.d) // (a.n + {PRIOR}) AS d FROM q a JOIN q1 z ON a.level = 0 AND a.l = z.l AND a.measure = z.measure),
+out AS (SELECT DISTINCT r FROM v JOIN q0 ON v.lang = q0.l AND v.source = q0.g AND v.measure = q0.measure JOIN rules ON rules.measure = v.measure WHERE (upper AND v > c + d) OR (lower AND v < c - d))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM out) AS kept FROM b
+"""
