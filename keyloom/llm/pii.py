@@ -1,17 +1,19 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Candidates are the matches of strict patterns (the base: email, ip, card, phone) and of loose ones (phones without a
-country code, spelled-out emails, titled names). Four labelers vote on each candidate, for, against or not at all:
-pattern, gazetteer, context, shape. Expectation-maximisation over the counts of vote patterns estimates how reliable each
-labeler is for each kind; its posteriors train a logistic classifier over votes, which decides on the loose candidates.
-Base spans always stay.
+Candidates are the matches of strict patterns (the base: email, ip, card, phone) and of loose ones (phones without a country
+code, spelled-out emails, card-like and address-like numbers that fail the base's tests, titled names, secret tokens). Four
+labelers vote on each loose candidate, for, against or not at all: pattern, gazetteer, context, shape. Expectation-maximisation
+over the counts of vote patterns estimates, without any label, how reliable each labeler is for each kind; its posteriors train
+a logistic classifier over kinds and votes, which accepts or rejects each loose candidate. Base spans always stay, and take no
+part in the fit: the base pattern would vote for itself.
 
 What leaves the executors for the fit is one count for each (kind, vote pattern): at most len(KINDS) * 3 ** 4 rows at any
 input size. Texts are scanned whole. The patterns are written so that Java's matcher neither recurses per character nor
 rescans a long run from each of its characters: runs start where no run character stands before them, and are possessive.
 
 Defined results: null text is empty; repeated rows are handled each; overlapping spans of different kinds are all listed
-and redacted as one; an empty table gives an empty result and an untrained classifier that adds nothing.
+and redacted as one, which takes the kind that begins first; an empty table gives an empty result and an untrained classifier
+that adds nothing; `redact` keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import read, staged
+from .base import let, read, staged
 
 _EMAIL_CHAR = "[A-Za-z0-9._%+-]"
 _START = r"(?:\G|(?<!{0}))"
@@ -36,32 +38,50 @@ BASE = {
 LOOSE = {
     "phone": r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]++",
+    "ip": r"(?<![0-9.])[0-9]{1,4}+(?:\.[0-9]{1,4}+){3}(?![0-9.])",
+    "card": r"(?<![0-9A-Za-z+.-])(?:[0-9]{12,19}+|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z.-])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z][a-z]++(?:\x20[A-Z][a-z]++)?",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+",
 }
-KINDS = ("email", "ip", "card", "phone", "name")
-#: Gazetteers: endings of mail domains, first digits of card issuers, calling codes.
-DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu")
-ISSUERS = ("3", "4", "5", "6")
-CALLING = ("1", "33", "34", "44", "49")
+KINDS = ("email", "ip", "card", "phone", "name", "secret")
+#: Gazetteers: endings of mail domains, first digits of card issuers, area codes that no subscriber has, given names,
+#: openings of issued keys, first parts of reserved networks.
+DOMAIN_ENDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "it", "nl", "ch", "at", "be", "pl", "se", "ca", "au", "jp", "br", "in", "us", "co")
+ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "60", "62", "65")
+NO_AREA = ("0", "1")
+GIVEN = (
+    "anna", "ana", "andrea", "anne", "antonio", "bernard", "carlos", "carmen", "charles", "christine", "claire", "claudia", "daniel", "david", "elena", "elizabeth", "emma", "eva", "francisco", "george", "hans", "heinrich", "helen",
+    "henri", "isabel", "jacques", "james", "jan", "jane", "jean", "jennifer", "john", "jorge", "jose", "joseph", "juan", "julia", "karl", "klaus", "laura", "linda", "louis", "lucia", "luis", "maria", "marie", "mark", "martin", "mary",
+    "michael", "monique", "nicole", "patricia", "paul", "pedro", "peter", "philippe", "pierre", "robert", "sarah", "sofia", "stefan", "susan", "thomas", "ursula", "werner", "william", "wolfgang",
+)
+ISSUED = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_", "pk_", "xox", "eyJ", "AIza", "ya29", "SG.", "npm_")
+RESERVED = ("0", "127", "255")
 #: Words before a span that speak for or against it.
 CUES = {
     "email": "mail|contact|write|reply|address",
     "ip": "ip|host|server|address|from|login",
-    "card": "card|visa|master|amex|credit|account|payment",
+    "card": "card|visa|master|amex|credit|debit|payment",
     "phone": "phone|call|tel|mobile|cell|fax|contact",
     "name": "from|by|signed|contact|dear|author",
+    "secret": "token|key|secret|password|passwd|pwd|auth|bearer|credential|api",
 }
-AGAINST = "version|release|isbn|order|invoice|page|section|figure|chapter"
+AGAINST = "version|release|isbn|issn|doi|order|invoice|page|section|figure|chapter|sha|commit|md5|checksum|hash"
 REACH = 40
 LABELERS = ("pattern", "gazetteer", "context", "shape")
-ROUNDS, STEPS = 30, 400
+ROUNDS, STEPS = 50, 600
+#: Matches that one step of the position sums handles.
+_BLOCK = 64
+_SPAN = "struct<start:int,stop:int,value:string>"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct(start, stop, value)> of all matches, in code points."""
+    """array<struct(start, stop, value)> of all matches, in code points.
+
+    Positions are sums over the gaps and matches before, taken in blocks: adding to one long array copies it each time.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.arrays_zip(found.alias("value"), F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(0))).alias("gap"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
+    zipped = F.arrays_zip(found.alias("value"), F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(0))).alias("gap"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -69,7 +89,18 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+    def joined(rows: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(rows)), lambda i: (i % _BLOCK == 0) & (i < F.size(rows)))
+        return let(F.transform(starts, lambda i: F.aggregate(F.slice(rows, i + 1, _BLOCK), zero, step)), placed)
+
+    def placed(blocks: Column) -> Column:
+        before = F.aggregate(
+            blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"]
+        )
+        shift = lambda one, at: F.transform(one["out"], lambda y: F.struct((y["start"] + at).alias("start"), (y["stop"] + at).alias("stop"), y["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, before, shift))
+
+    return let(zipped, joined)
 
 
 def luhn(digits: Column) -> Column:
@@ -97,53 +128,81 @@ def _checked(kind: str):
     return lambda x: valid(kind, x["value"])
 
 
-def _labelled(text: Column, spans: Column, kind: str, base: bool) -> Column:
-    """spans with their votes: 1 for, -1 against, 0 none."""
+def _base_spans(spans: Column, kind: str) -> Column:
+    """Base spans; labelers have no vote on them."""
+    none = [F.lit(0).alias(k) for k in LABELERS]
+    return F.transform(spans, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(True).alias("base"), *none))
+
+
+def _starts(value: Column, *openings: str) -> Column:
+    return F.array_contains(F.array(*(F.startswith(value, F.lit(c)) for c in openings)), True)
+
+
+def _labelled(text: Column, spans: Column, kind: str) -> Column:
+    """Loose spans with their votes: 1 for, -1 against, 0 none."""
 
     def votes(x: Column) -> Column:
         value, low = x["value"], F.lower(x["value"])
         before = F.lower(F.substr(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))))
         around = F.concat(F.substr(text, F.greatest(x["start"], F.lit(1)), F.when(x["start"] > 0, 1).otherwise(0)), F.substr(text, x["stop"] + 1, F.lit(1)))
         digits = F.regexp_replace(value, "[^0-9]", "")
+        is_ = lambda pattern: F.rlike(value, F.lit(pattern))
+        for_ = lambda test, other=-1: F.when(test, 1).otherwise(other)
+        pattern = {
+            "email": for_(is_(r"[(\[]at[)\]].*[(\[]dot[)\]]"), 0),
+            "ip": for_(F.forall(F.split(value, r"\."), lambda p: p.cast("int") <= 255)),
+            "card": for_(luhn(digits)),
+            "phone": for_(is_(r"^\(|^[0-9]{3}([.-])[0-9]{3}\1")),
+            "name": for_(is_(r"\x20[A-Z][a-z]+\x20[A-Z]"), 0),
+            "secret": for_(is_("[0-9]") & is_("[A-Za-z]")),
+        }[kind]
         gazetteer = {
-            "email": F.when(F.regexp_extract(low, r"([a-z0-9-]+)$", 1).isin(*DOMAIN_ENDS), 1).otherwise(-1),
-            "ip": F.when(digits.startswith("0") | value.startswith("127.") | value.startswith("255."), -1).otherwise(1),
-            "card": F.when(F.substr(digits, F.lit(1), F.lit(1)).isin(*ISSUERS), 1).otherwise(-1),
-            "phone": F.when(F.array_contains(F.array(*(F.startswith(digits, F.lit(c)) for c in CALLING)), True), 1).otherwise(0),
-            "name": F.lit(0),
+            "email": for_(F.regexp_extract(low, r"([a-z0-9-]+)$", 1).isin(*DOMAIN_ENDS)),
+            "ip": for_(~F.regexp_extract(value, "^([0-9]+)", 1).isin(*RESERVED)),
+            "card": for_(_starts(digits, *ISSUERS)),
+            "phone": for_(~_starts(digits, *NO_AREA)),
+            "name": for_(F.regexp_extract(low, r"\.\x20([a-z]+)", 1).isin(*GIVEN), 0),
+            "secret": for_(_starts(value, *ISSUED), 0),
         }[kind]
-        context = F.when(F.rlike(before, F.lit(rf"\b(?:{CUES[kind]})\w*\W*\w*\W*$")), 1).when(F.rlike(before, F.lit(rf"\b(?:{AGAINST})\W*$")), -1).otherwise(0)
-        shape = F.when(F.rlike(around, F.lit(r"[A-Za-z0-9]")), -1).otherwise(1)
-        return F.struct(
-            F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(base).alias("base"),
-            F.lit(1 if base else 0).alias("pattern"), gazetteer.cast("int").alias("gazetteer"), context.cast("int").alias("context"), shape.cast("int").alias("shape"),
-        )
+        context = F.when(F.rlike(before, F.lit(rf"\b(?:{AGAINST})\W*$")), -1).when(F.rlike(before, F.lit(rf"\b(?:{CUES[kind]})\w*\W*\w*\W*$")), 1).otherwise(0)
+        shape = {
+            "card": F.when(F.length(digits) == 16, 0).otherwise(-1),
+            "secret": F.when(is_("[0-9].*[A-Za-z].*[0-9].*[A-Za-z].*[0-9]"), 1).otherwise(-1),
+        }.get(kind, F.when(F.rlike(around, F.lit(r"[A-Za-z0-9]")), -1).otherwise(1))
+        named = [v.cast("int").alias(k) for k, v in zip(LABELERS, (pattern, gazetteer, context, shape))]
+        return F.struct(F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(False).alias("base"), *named)
 
     return F.transform(spans, votes)
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `__found`: all candidates of each text, with votes, sorted by kind and start."""
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
+    """docs (no column of which begins with two underscores) with `__found`: all candidates of each text, with votes, by kind and start."""
+    none = F.array().cast(f"array<{_SPAN}>")
     out = docs.withColumn("__body", F.coalesce(F.col(text), F.lit("")))
     body = F.col("__body")
     has = {"email": F.contains(body, F.lit("@")), "ip": F.rlike(body, F.lit(r"[0-9]\.[0-9]")), "card": F.rlike(body, F.lit(r"[0-9][0-9\x20-]{10}")), "phone": F.contains(body, F.lit("+"))}
     for kind, pattern in BASE.items():
         out = out.withColumn(f"__{kind}", F.when(has[kind], F.filter(matches(body, pattern), _checked(kind))).otherwise(none))
     taken = F.concat(*(F.col(f"__{k}") for k in BASE))
-    hints = {"phone": F.rlike(body, F.lit(r"[0-9]{3}[\x20.-][0-9]{4}")), "email": F.contains(body, F.lit("at)")) | F.contains(body, F.lit("at]")), "name": F.rlike(body, F.lit(r"(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z]"))}
+    hints = has | {
+        "phone": F.rlike(body, F.lit(r"[0-9]{3}[\x20.-][0-9]{4}")),
+        "email": F.contains(body, F.lit("at)")) | F.contains(body, F.lit("at]")),
+        "name": F.rlike(body, F.lit(r"(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z]")),
+        "secret": F.rlike(body, F.lit("[0-9][A-Za-z_+/=-]|[A-Za-z_+/=-][0-9]")),
+    }
     for kind, pattern in LOOSE.items():
-        apart = lambda x: ~F.exists(taken, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-        out = out.withColumn(f"__loose_{kind}", F.when(hints[kind], F.filter(matches(body, pattern), apart)).otherwise(none))
-    parts = [_labelled(body, F.col(f"__{k}"), k, True) for k in BASE] + [_labelled(body, F.col(f"__loose_{k}"), k, False) for k in LOOSE]
+        apart = lambda x: ~F.exists("__taken", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+        out = out.withColumn("__taken", taken).withColumn(f"__loose_{kind}", F.when(hints[kind], F.filter(matches(body, pattern), apart)).otherwise(none))
+    parts = [_base_spans(F.col(f"__{k}"), k) for k in BASE] + [_labelled(body, F.col(f"__loose_{k}"), k) for k in LOOSE]
     out = out.withColumn("__found", F.concat(*parts))
-    return out.drop("__body", *(f"__{k}" for k in BASE), *(f"__loose_{k}" for k in LOOSE))
+    return out.drop("__body", "__taken", *(f"__{k}" for k in BASE), *(f"__loose_{k}" for k in LOOSE))
 
 
 def vote_counts(candidates: DataFrame) -> DataFrame:
-    """One row for each (kind, vote pattern) that occurs, with its count."""
-    rows = candidates.select(F.explode("__found").alias("f")).select("f.kind", *(f"f.{k}" for k in LABELERS))
-    return rows.groupBy("kind", *LABELERS).agg(F.count(F.lit(1)).alias("n"))
+    """One row for each (kind, vote pattern) of a loose candidate that occurs, with its count."""
+    # the filter is on the exploded rows, behind an outer explode: it can't be pushed below the arrays
+    rows = candidates.select(F.explode_outer("__found").alias("f")).select("f.kind", "f.base", *(f"f.{k}" for k in LABELERS))
+    return rows.groupBy("kind", "base", *LABELERS).agg(F.count(F.lit(1)).alias("n")).where("kind IS NOT NULL AND NOT base").drop("base")
 
 
 def reliabilities(counts: list[tuple]) -> tuple[dict, dict]:
@@ -171,14 +230,17 @@ def reliabilities(counts: list[tuple]) -> tuple[dict, dict]:
     return tables, post
 
 
+def _features(kind: str, votes: tuple) -> list[float]:
+    return [1.0, *(float(kind == k) for k in KINDS), *(float(v == side) for v in votes for side in (1, -1))]
+
+
 def train(counts: list[tuple]) -> list[float]:
-    """Weights of the span classifier: a bias, then for and against of each labeler; fitted to the posteriors."""
+    """Weights of the span classifier: a bias, one for each kind, then for and against of each labeler; fitted to the posteriors."""
     _, post = reliabilities(counts)
-    features = lambda votes: [1.0] + [float(v == s) for v in votes for s in (1, -1)]
-    rows = [(features(r[1:-1]), post[r[:-1]], math.sqrt(r[-1])) for r in counts]
-    w, total = [0.0] * (1 + 2 * len(LABELERS)), sum(r[2] for r in rows) or 1.0
+    rows = [(_features(r[0], r[1:-1]), post[r[:-1]], math.sqrt(r[-1])) for r in counts]
+    w, total = [0.0] * (1 + len(KINDS) + 2 * len(LABELERS)), sum(r[2] for r in rows) or 1.0
     for _ in range(STEPS if rows else 0):
-        grad = [0.02 * x for x in w]
+        grad = [0.005 * x for x in w]
         for x, y, n in rows:
             p = 1 / (1 + math.exp(-max(-60.0, min(60.0, sum(a * b for a, b in zip(w, x))))))
             for j, v in enumerate(x):
@@ -195,9 +257,10 @@ def accepted(found: Column, w: list[float]) -> Column:
     """The base spans, and the loose candidates that the classifier takes."""
 
     def keep(f: Column) -> Column:
-        score = F.lit(w[0])
+        score = F.lit(w[0]) + F.element_at(F.array(*(F.lit(x) for x in w[1 : 1 + len(KINDS)])), f["order"] + 1)
         for j, name in enumerate(LABELERS):
-            score = score + F.when(f[name] == 1, w[1 + 2 * j]).when(f[name] == -1, w[2 + 2 * j]).otherwise(0.0)
+            at = 1 + len(KINDS) + 2 * j
+            score = score + F.when(f[name] == 1, w[at]).when(f[name] == -1, w[at + 1]).otherwise(0.0)
         return f["base"] | (score > 0)
 
     return F.filter(found, keep)
@@ -209,20 +272,38 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["stop"].cast("string"))), ",")
 
 
+def _greatest_before(ends: Column) -> Column:
+    """For each block of _BLOCK ends the greatest of all blocks before it, 0 for the first."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(ends)), lambda i: i % _BLOCK == 0)
+    return let(F.transform(starts, lambda i: F.coalesce(F.array_max(F.slice(ends, i + 1, _BLOCK)), F.lit(0))), lambda most: F.transform(most, lambda x, j: F.coalesce(F.array_max(F.slice(most, 1, j)), F.lit(0))))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each span of personal data replaced by its kind in angle brackets; the other columns as they were."""
-    weights = fit(staged(with_candidates(docs, text).select("__found"), "pii-candidates"))
-    spans = with_candidates(docs, text).withColumn("__spans", F.sort_array(F.transform(accepted(F.col("__found"), weights), lambda f: F.struct(f["start"].alias("start"), f["stop"].alias("stop"), f["kind"].alias("kind")))))
-    body = F.col(text)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(F.substr(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    joined = F.aggregate("__spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(body, acc["at"] + 1, F.length(body))))
-    return spans.withColumn(text, F.when(F.size("__spans") > 0, joined).otherwise(body)).select(*docs.columns)
+    """docs with each span of personal data replaced by its kind in angle brackets; the other columns as they were.
+
+    Each row travels as one struct, so no column's name can clash; candidates are found once and staged beside it.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    found = staged(with_candidates(rows).drop("text"), "pii-candidates")
+    weights = fit(found)
+    spans = F.sort_array(F.transform(accepted(F.col("__found"), weights), lambda f: F.struct(f["start"].alias("start"), f["stop"].alias("stop"), f["kind"].alias("kind"))))
+    body = F.col(f"row.`{text}`")
+
+    def parts(spans: Column) -> Column:
+        return let(F.transform(spans, lambda s: s["stop"]), lambda ends: let(_greatest_before(ends), lambda before: marked(spans, ends, before)))
+
+    def marked(spans: Column, ends: Column, before: Column) -> Column:
+        """What stands between the spans, with a mark for each; one that begins inside an earlier one has none."""
+
+        def mark(s: Column, i: Column) -> Column:
+            rest = i % _BLOCK
+            past = F.greatest(F.get(before, F.floor(i / _BLOCK).cast("int")), F.coalesce(F.array_max(F.slice(ends, i - rest + 1, rest)), F.lit(0)))
+            return F.when(s["start"] >= past, F.concat(F.substr(body, past + 1, s["start"] - past), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(spans, mark), ""), F.substr(body, F.array_max(ends) + 1, F.length(body)))
+
+    cleaned = found.withColumn("spans", spans).withColumn("clean", F.when(F.size("spans") > 0, let(F.col("spans"), parts)).otherwise(body))
+    return cleaned.select(*(F.col("clean").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

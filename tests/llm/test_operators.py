@@ -134,7 +134,34 @@ def test_personal_data(spark, none):
         assert sorted((f.start, f.order, f.stop) for f in r["__found"] if f.base) == want
     clean = pii.redact(corpus(spark, ["mail a@b.co now", None, "", "plain"]))
     assert [r.text for r in clean.orderBy("doc_id").collect()] == ["mail <email> now", None, "", "plain"] and clean.columns == corpus(spark).columns
-    assert pii.redact(none).count() == 0 and len(pii.train([])) == 9
+    assert pii.redact(none).count() == 0 and set(pii.train([])) == {0.0}
+
+
+def test_labelers_reliabilities_are_recovered():
+    rng = np.random.default_rng(3)
+    right, silent, share, n = (0.95, 0.85, 0.9, 0.6), (0.1, 0.3, 0.5, 0.0), 0.4, 40_000
+    truth = rng.random(n) < share
+    votes = [np.where(rng.random(n) < quiet, 0, np.where(rng.random(n) < p, 1, -1) * np.where(truth, 1, -1)) for p, quiet in zip(right, silent)]
+    tables, post = pii.reliabilities([("secret", *v, m) for v, m in Counter(zip(*(v.tolist() for v in votes))).items()])
+    assert abs(tables["secret", "prior"][1] - share) < 0.03
+    for name, p, quiet in zip(pii.LABELERS, right, silent):
+        assert abs(tables["secret", name, 1][1] - p * (1 - quiet)) < 0.04 and abs(tables["secret", name, 0][-1] - p * (1 - quiet)) < 0.04
+    weights = pii.train([("secret", *v, m) for v, m in Counter(zip(*(v.tolist() for v in votes))).items()])
+    score = lambda v: sum(a * b for a, b in zip(weights, pii._features("secret", v)))
+    assert np.mean([(score(v) > 0) == y for v, y in zip(zip(*votes), truth)]) > np.mean([(sum(v) > 0) == y for v, y in zip(zip(*votes), truth)]) > 0.8
+
+
+def test_classifier_takes_and_rejects_loose_spans(spark):
+    token = "".join("0123456789abcdef"[RNG.randrange(16)] for _ in range(40))
+    texts = [f'id {i} token = "{i % 10}{token}" end' for i in range(20)] + [f"order {n} shipped" for n in range(9000000000000001, 9000000000000099) if not valid("card", str(n))][:20] + ["version 1.2.3.400 out", "a" * 50, "x" * 40 + "-" + "y" * 9]
+    clean = [r.text for r in pii.redact(corpus(spark, texts)).orderBy("doc_id").collect()]
+    assert clean[:20] == [f'id {i} token = "<secret>" end' for i in range(20)] and clean[20:] == texts[20:]
+
+
+def test_many_spans_keep_their_places(spark):
+    texts = ["é a@b.co 4111 1111 1111 1111 " * 150, " ".join(["1.2.3.4"] * 200) + "@x.de"]
+    clean = [r.text for r in pii.redact(corpus(spark, texts)).orderBy("doc_id").collect()]
+    assert clean[0] == "é <email> <card> " * 150 and clean[1] == " ".join(["<ip>"] * 199) + " <email>"
 
 
 def test_chat_round_trip(spark):
