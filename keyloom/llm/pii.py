@@ -12,7 +12,7 @@ input size. Texts are scanned whole. The patterns are written so that Java's mat
 rescans a long run from each of its characters: runs start where no run character stands before them, and are possessive.
 
 Defined results: null text is empty; repeated rows are handled each; overlapping spans of different kinds are all listed
-and redacted as one, which takes the kind that begins first; an empty table gives an empty result and an untrained classifier
+and redacted as one, which takes the kind that begins first (of several the longest); an empty table gives an empty result and an untrained classifier
 that adds nothing; `redact` keeps columns of any name.
 """
 
@@ -286,7 +286,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     found = staged(with_candidates(rows).drop("text"), "pii-candidates")
     weights = fit(found)
-    spans = F.sort_array(F.transform(accepted(F.col("__found"), weights), lambda f: F.struct(f["start"].alias("start"), f["stop"].alias("stop"), f["kind"].alias("kind"))))
+    spans = F.sort_array(F.transform(accepted(F.col("__found"), weights), lambda f: F.struct(f["start"].alias("start"), (-f["stop"]).alias("back"), f["stop"].alias("stop"), f["kind"].alias("kind"))))
     body = F.col(f"row.`{text}`")
 
     def parts(spans: Column) -> Column:
