@@ -181,8 +181,8 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.withColumn("__body", F.coalesce(F.col(text), F.lit("")))
     body = F.col("__body")
     has = {"email": F.contains(body, F.lit("@")), "ip": F.rlike(body, F.lit(r"[0-9]\.[0-9]")), "card": F.rlike(body, F.lit(r"[0-9][0-9\x20-]{10}")), "phone": F.contains(body, F.lit("+"))}
-    for kind, pattern in BASE.items():
-        out = out.withColumn(f"__{kind}", F.when(has[kind], F.filter(matches(body, pattern), _checked(kind))).otherwise(none))
+    # a layer of columns at a time: each call analyses the whole plan again
+    out = out.withColumns({f"__{kind}": F.when(has[kind], F.filter(matches(body, pattern), _checked(kind))).otherwise(none) for kind, pattern in BASE.items()})
     taken = F.concat(*(F.col(f"__{k}") for k in BASE))
     hints = has | {
         "phone": F.rlike(body, F.lit(r"[0-9]{3}[\x20.-][0-9]{4}")),
@@ -190,12 +190,13 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         "name": F.rlike(body, F.lit(r"(?:Mr|Mrs|Ms|Dr|Prof)\.\x20[A-Z]")),
         "secret": F.rlike(body, F.lit("[0-9][A-Za-z_+/=-]|[A-Za-z_+/=-][0-9]")),
     }
-    for kind, pattern in LOOSE.items():
-        apart = lambda x: ~F.exists("__taken", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
-        out = out.withColumn("__taken", taken).withColumn(f"__loose_{kind}", F.when(hints[kind], F.filter(matches(body, pattern), apart)).otherwise(none))
+    apart = lambda taken, x: ~F.exists(taken, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    # taken is bound outside the lambda: inside, the optimiser would put the patterns of all base spans into each test
+    loose = {kind: let(taken, lambda t, p=pattern: F.filter(matches(body, p), lambda x: apart(t, x))) for kind, pattern in LOOSE.items()}
+    out = out.withColumns({f"__loose_{kind}": F.when(hints[kind], spans).otherwise(none) for kind, spans in loose.items()})
     parts = [_base_spans(F.col(f"__{k}"), k) for k in BASE] + [_labelled(body, F.col(f"__loose_{k}"), k) for k in LOOSE]
     out = out.withColumn("__found", F.concat(*parts))
-    return out.drop("__body", "__taken", *(f"__{k}" for k in BASE), *(f"__loose_{k}" for k in LOOSE))
+    return out.drop("__body", *(f"__{k}" for k in BASE), *(f"__loose_{k}" for k in LOOSE))
 
 
 def vote_counts(candidates: DataFrame) -> DataFrame:
