@@ -222,7 +222,26 @@ def test_html_main_text():
     assert html.main_text("<article><header><h1>A</h1></header>1 < 2 <b>x</b><!-- c") == "A\n1 < 2 x"
     assert html.main_text("<div>ad</div><article><h1>T</h1><p>Ti.</p></article><footer>f</footer>") == "T\nTi."
     assert html.main_text(None) == html.main_text("") == html.main_text("<script>var t='</p>'") == ""
-    assert html.regions(np.array([0, 0, 5, 9, 0, 0, 0, 0, 7, 0])) == [(2, 4), (8, 9)]
+    assert html.stretches(np.array([0, 0, 5, 9, 0, 0, 0, 0, 7, 0])) == [(2, 4), (8, 9)] and html.stretches(np.zeros(3, int)) == []
+    assert html.stretches(np.array([1, 0, 0, 0, 50, 60, 0, 0, 0, 1])) == [(4, 6)]
+
+
+def test_html_curve_chooses_the_place(spark, none):
+    side = "<nav><ul><li><a href=x>Home</a></ul></nav>"
+    ad, tail = "<div class=ad><p>buy<p>now<p>here</div>", "<footer>foot</footer>"
+    body = [" ".join(["word"] * 60) + ".", " ".join(["rest"] * 20) + "."]
+    inner = f"<h1>Title</h1><p>{body[0]}</p>{ad}<p>{body[1]}</p><p>End."
+    want = "\n".join(["Title", *body, "End."])
+    talk = "<div class=comments>" + f"<p>{body[0]}" * 9 + "</div>"
+    shells = ["<article>{}</article>", '<div class="content has-sidebar">{}</div><div class=sidebar><p>side</div>', '<section class="alert-story share">{}</section>', "<main><div>{}</div></main>", "<article>{}" + talk + "</article>", "<div>{}</div>" + talk]
+    pages = [f"<html><body>{side}{s.format(inner)}{tail}</body></html>" for s in shells]
+    pages += [f"<body><div id=a><p>short teaser</div><div id=b>{inner}</div></body>", "<body>" + "<p>" + "<a href=x>all links</a></body>", None, "", "<script>x</script>", pages[0]]
+    rows = [(i, f"u{i}", p, 7, 8) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text long, __html long")
+    got = [r.text for r in html.extract(df.drop("text"), ["page_id", "__html"]).orderBy("page_id").collect()]
+    assert got[:6] == [want] * 6 and got[6] == want and got[7:] == ["all links", "", "", "", want]
+    assert html.extract(df.drop("text").limit(0), ["page_id"]).count() == 0
+    assert [html.main_lines(p)[1] for p in pages[:4]] == [False, True, True, False]
 
 
 def test_packing_places_every_id_once(spark, docs, none):
