@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .base import staged
 
-MAX_ROUNDS = 60
-
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours point to the least node of its neighbourhood."""
@@ -33,12 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     mark = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round lowers some node's target until none can be lowered
         e = staged(_small_star(_large_star(e)), "components")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -17,6 +17,7 @@ empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections import Counter
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import read, staged
+from .base import arrow, read, ship, staged
 
 WINDOW, GRID, BLOCK, END = 4096, 16, 32, 2
 CLASSES = WINDOW // GRID
@@ -125,7 +126,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                     out = []
             yield _batch(out)
 
-    return rows.mapInArrow(run, _PIECE_SCHEMA)
+    return arrow(rows, run, _PIECE_SCHEMA)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -150,11 +151,16 @@ def combinations(present: list[int], total: int = CLASSES) -> list[dict[int, int
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """Non-negative x of least |a x - b|, by active sets."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Non-negative x of least |a x - b|, by active sets; ends when no column can lower the rest any more."""
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     scale = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
-    for _ in range(rounds):
+    least = math.inf
+    while True:
+        rest = float(np.square(b - a @ x).sum())
+        if not rest < least:  # rounding makes no more progress
+            break
+        least = rest
         slope = a.T @ (b - a @ x)
         slope[free] = -np.inf
         if free.all() or slope.max() <= scale:
@@ -294,6 +300,7 @@ def pack(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text:
     first = sums.withColumn("first", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # a row for each partition
     running = F.sum("length").over(Window.partitionBy("part").orderBy("row")) - F.col("length")
     ends = rest.withColumn("running", running).join(first, "part").withColumn("place", F.col("first") + F.col("running"))
+    ship(spark)
     cut = ends.select("doc_id", "start", "length", "crc", "blocks", "doc_tokens", "place").mapInPandas(_cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, seq long, slot long")
     both = planned.union(cut.withColumn("seq", F.col("seq") + used))
     inside = F.sum("length").over(Window.partitionBy("seq").orderBy("slot")) - F.col("length")

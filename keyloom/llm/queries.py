@@ -7,7 +7,7 @@ from .decontamination import op7_decontamination
 from .html import op9_html_text
 from .packing import op10_packing
 from .pii import op5_pii
-from .quality import op4_quality_rules
+from .quality import OP4_SQL, op4_quality_rules
 from .simhash import op8_simhash
 from .substrings import op2_repeated_substrings
 from .toxicity import op3_toxicity
@@ -27,5 +27,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_warc_fixity": OP1_SQL,
+    "op4_quality_rules": OP4_SQL,
     "op6_chat_format": OP6_SQL,
 }

@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import read, staged
+from .base import arrow, fits_broadcast, read, staged, unused
 from .graph import components
 
 RADIUS, SHINGLE, BITS, SEED = 4, 4, 64, 42
 #: Expected fingerprints a bucket at most, under which the number of blocks is chosen.
 BUCKET = 16
+#: Components whose ids are attached by a broadcast; more are joined by shuffle, over SALTS keys each.
+MAX_BROADCAST, SALTS = 200_000, 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
 
@@ -55,15 +57,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """The columns `keys` of docs and `fp`, the fingerprint as a signed long."""
-    rows = docs.select(*keys, F.col(text).alias("__text"))
-    schema = rows.drop("__text").withColumn("fp", F.lit(0).cast("long")).schema
+    (body,) = unused(docs, "text")
+    rows = docs.select(*keys, F.col(text).alias(body))
+    schema = rows.drop(body).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter(map(fingerprint, (x.as_py() for x in batch.column(batch.num_columns - 1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keys, "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return arrow(rows, run, schema)
 
 
 def masks(n: int) -> list[int]:
@@ -130,7 +133,7 @@ def link_components(fps: DataFrame) -> DataFrame:
     keys = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks(distinct.count()))]
     rows = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp").select("key.k", "key.v", "fp")
     dealt = rows.repartition("k", "v").sortWithinPartitions("k", "v", "fp")
-    links = staged(dealt.mapInArrow(_bucket_links, "a long, b long").distinct(), "simhash-links")
+    links = staged(arrow(dealt, _bucket_links, "a long, b long").distinct(), "simhash-links")
     return components(links).select(F.col("node").alias("fp"), "root")
 
 
@@ -138,8 +141,15 @@ def near_duplicate_components(docs: DataFrame, doc_id: str = "doc_id", text: str
     """(doc_id, fp, component_id) of every row."""
     fps = staged(fingerprints(docs, [doc_id], text).withColumnRenamed(doc_id, "doc_id"), "simhash-fingerprints")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(link_components(fps), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    # a component may hold a third of all fingerprints: its minimum is taken map-side, and its id goes back over salted keys
+    rooted = staged(least.join(link_components(fps), "fp", "left"), "simhash-rooted")
+    linked, names = rooted.where("root IS NOT NULL"), rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
+    if fits_broadcast(names, MAX_BROADCAST):
+        named = linked.join(F.broadcast(names), "root")
+    else:
+        salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+        named = linked.withColumn("salt", salt).join(names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["root", "salt"])
+    named = named.select("fp", "component_id").union(rooted.where("root IS NULL").select("fp", "least"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -151,15 +161,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each component: that of least doc_id, and of equal ids the first by a hash of its text.
 
-    Only ids travel: the rows to go are found from (doc_id, hash of the text) and anti-joined. Rows equal in both are one.
+    Only ids travel: the rows to stay are found from (doc_id, hash of the text). Rows equal in both are one.
     """
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), mark.alias("__mark"), F.col(text).alias("__body"))
-    fps = staged(fingerprints(rows, ["__id", "__mark"], "__body"), "simhash-fingerprints")
+    from .similar import keep_first
+
+    key, mark = F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    fps = staged(fingerprints(docs.select(key.alias("id"), mark.alias("mark"), F.col(text).alias("body")), ["id", "mark"], "body"), "simhash-fingerprints")
     rooted = fps.join(link_components(fps), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rank = F.struct(F.col("__id").isNull().alias("last"), F.col("__id"), F.col("__mark"))
-    firsts = rooted.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.__id").alias("__id"), F.col("first.__mark").alias("__mark"))
-    firsts = staged(firsts, "simhash-firsts")
-    keyed = docs.withColumn("__key", F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")), F.col(doc_id).isNull(), mark))
-    keys = firsts.select(F.struct(F.coalesce("__id", F.lit(0).cast("long")), F.col("__id").isNull(), F.col("__mark")).alias("__key"))
-    return keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "mark")
+    firsts = staged(rooted.groupBy("root").agg(F.min(rank).alias("first")).select("first.id", "first.mark"), "simhash-firsts")
+    return keep_first(docs, firsts, key, mark)

@@ -5,8 +5,8 @@ and depends on the string alone. So equal strings have equal anchors, and:
 
 1. Copies of a whole text keep their first document; every other is repeated from end to end.
 2. Anchors of the first documents are dealt by hash, each with a hash of its context, the bytes of the strings it anchors.
-   An anchor that stands once covers no repeated string; of equal contexts all but the first are repeated throughout, and
-   no byte of them has to travel.
+   An anchor that stands once covers no repeated string; of equal contexts (by the two hashes, 128 bits in all, and not byte
+   by byte) all but the first are repeated throughout, and no byte of them has to travel.
 3. The first of each context goes, where its anchor has several, to the task of its anchor. An anchor of more than HOT
    contexts is dealt by the bytes beside it too: those right of it for strings that start near it, left for the rest.
 4. A task sorts the suffixes of its contexts in two stages: suffixes smaller than their successors are sorted directly, the
@@ -16,7 +16,7 @@ and depends on the string alone. So equal strings have equal anchors, and:
 Texts are shuffled once (the joins reuse that exchange). A task holds one chunk of contexts; a thousand copies of a passage
 cost one context and a thousand rows of four longs.
 
-Defined results: null text is empty; texts under LENGTH bytes stay whole; rows of one doc_id are ordered by a hash of
+Defined results: null text is empty; texts under LENGTH bytes stay whole; rows of one doc_id are ordered by a 64-bit hash of
 their text, and equal rows of one doc_id are one document, returned for each row; null doc_id counts as the least; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import read, staged
+from .base import arrow, read, staged
 
 LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1
@@ -48,8 +48,8 @@ _STEP = {n: np.uint64(int(_rng.integers(1, 1 << 62)) * 2 + 1) for n in (1, 2, 4,
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWER = int(_rng.integers(1, 1 << 61)) * 8 + 5
 _INVERSE = pow(_POWER, -1, 1 << 64)
-#: A place packs the tie (25 bits), the start of its first string (31) and the number of its strings (7).
-_AT_SHIFT, _TIE_SHIFT, _TIE_BITS = 7, 38, 25
+#: A place packs the start of its first string and the number of its strings (7 bits).
+_AT_SHIFT = 7
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -186,36 +186,47 @@ def _context_hashes(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.nd
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tie, text) -> (h, ctx, id, place) for every anchor; place packs the tie, the first string's start and their number."""
+    """(id, tie, text) -> (h, ctx, id, tie, place, dup) for every anchor; place packs the first string's start and their number.
+
+    Of equal contexts in one batch all but the first are repeats for sure (dup); they get a key of their own each, so that a
+    passage of very many documents is no hot key: it comes to one row a batch.
+    """
     for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[], [], [], [], []]
         for key, tie, text in zip(batch.column(0), batch.column(1), batch.column(2)):
             data = _data(text)
             if len(data) >= LENGTH:
                 h, at = anchors(data)
                 first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                 n = np.diff(np.concatenate((first, [len(at)])))
-                place = (np.int64(tie.as_py()) << np.int64(_TIE_SHIFT)) | (first.astype(np.int64) << np.int64(_AT_SHIFT)) | n
-                for c, x in zip(columns, (h[at[first]].view(np.int64), _context_hashes(data, first, n).view(np.int64), np.full(len(n), key.as_py(), np.int64), place)):
+                place = (first.astype(np.int64) << np.int64(_AT_SHIFT)) | n
+                own = np.full(len(n), key.as_py(), np.int64), np.full(len(n), tie.as_py(), np.int64)
+                for c, x in zip(columns, (h[at[first]].view(np.int64), _context_hashes(data, first, n).view(np.int64), *own, place)):
                     c.append(x)
         if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["h", "ctx", "id", "place"])
+            h, ctx, id_, ties, place = (np.concatenate(x) for x in columns)
+            by = np.lexsort((place, ties, id_, ctx, h))
+            dup = np.zeros(len(h), np.int32)
+            dup[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (ctx[by[1:]] == ctx[by[:-1]])
+            spread = ((id_.view(np.uint64) ^ ties.view(np.uint64)) * _MIX + place.view(np.uint64)) * _MIX
+            h = np.where(dup == 1, (spread ^ spread >> np.uint64(32)).view(np.int64), h)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, ctx, id_, ties, place, dup)], names=["h", "ctx", "id", "tie", "place", "dup"])
 
 
-_CONTEXT = "key long, id long, tie int, start int, n int, context binary"
+_CONTEXT = "key long, id long, tie long, start int, n int, context binary"
 
 
 def _emit_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, tie, text, list of (h, place, hot)) -> the contexts, those of hot anchors split by what lies beside the anchor."""
     names = ["key", "id", "tie", "start", "n", "context"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     for batch in batches:
         rows: list[tuple] = []
         size = 0
         for key, tie, text, places in zip(*(batch.column(i) for i in range(4))):
             raw, k, x = (text.as_py() or "").encode("utf-8", "surrogatepass"), key.as_py(), tie.as_py()
             for one in places.as_py():
-                first, n = one["place"] >> _AT_SHIFT & (1 << 31) - 1, one["place"] & (1 << _AT_SHIFT) - 1
+                first, n = one["place"] >> _AT_SHIFT, one["place"] & (1 << _AT_SHIFT) - 1
                 context = raw[first : first + n + LENGTH - 1]
                 if not one["hot"]:
                     rows.append((one["h"], k, x, first, n, context))
@@ -263,7 +274,7 @@ def _emit_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def batch_of() -> pa.RecordBatch:
         columns = list(zip(*out)) or [()] * 4
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["id", "tie", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "tie", "start", "stop"])
 
     border = 0
     for batch in batches:
@@ -312,7 +323,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row; kept is binary, as a cut may split a character."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # both keys are never null by type: else an inner join filters its texts for that, and can't reuse the other joins' exchange
-    keyed = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.coalesce(F.pmod(F.xxhash64("text"), F.lit(1 << _TIE_BITS)).cast("int"), F.lit(0)).alias("tie"), "text")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), "text")
     digests = keyed.select("id", "tie", F.sha2("text", 256).alias("digest")).distinct()
     firsts = digests.groupBy("digest").agg(F.min(F.struct("id", "tie")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = digests.join(firsts, "digest").where(F.struct("id", "tie") != F.col("first")).select("id", "tie")
@@ -320,22 +331,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     texts = keyed.select("id", "tie", "text")
     single = texts.join(copies.select("id", "tie").hint("shuffle_hash"), ["id", "tie"], "left_anti")
-    placed = single.mapInArrow(_emit_anchors, "h long, ctx long, id long, place long")
-    anchor, context = Window.partitionBy("h"), Window.partitionBy("h", "ctx").orderBy("id", "place")
+    placed = arrow(single, _emit_anchors, "h long, ctx long, id long, tie long, place long, dup int")
+    anchor, context = Window.partitionBy("h", "dup"), Window.partitionBy("h", "dup", "ctx").orderBy("id", "tie", "place")
     placed = placed.repartition("h")  # serves both windows
     placed = placed.withColumn("first", (F.row_number().over(context) == 1).cast("int")).withColumn("contexts", F.sum("first").over(anchor))
-    ends = [(F.shiftright("place", _AT_SHIFT).bitwiseAND(F.lit((1 << 31) - 1))).cast("int"), F.col("place").bitwiseAND(F.lit((1 << _AT_SHIFT) - 1)).cast("int")]
-    tie = F.shiftright("place", _TIE_SHIFT).cast("int").alias("tie")
-    whole = placed.where("first = 0").select("id", tie, ends[0].alias("start"), (ends[0] + ends[1] + (LENGTH - 1)).alias("stop"))
-    lists = placed.where("first = 1 AND contexts > 1").select("id", tie, F.struct("h", "place", (F.col("contexts") > HOT).alias("hot")).alias("p")).groupBy("id", "tie").agg(F.collect_list("p").alias("places"))
-    dealt = texts.join(lists.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "places").mapInArrow(_emit_contexts, _CONTEXT)
+    ends = [F.shiftright("place", _AT_SHIFT).cast("int"), F.col("place").bitwiseAND(F.lit((1 << _AT_SHIFT) - 1)).cast("int")]
+    whole = placed.where("first = 0 OR dup = 1").select("id", "tie", ends[0].alias("start"), (ends[0] + ends[1] + (LENGTH - 1)).alias("stop"))
+    lists = placed.where("first = 1 AND contexts > 1 AND dup = 0").select("id", "tie", F.struct("h", "place", (F.col("contexts") > HOT).alias("hot")).alias("p")).groupBy("id", "tie").agg(F.collect_list("p").alias("places"))
+    dealt = arrow(texts.join(lists.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "places"), _emit_contexts, _CONTEXT)
     dealt = dealt.repartition("key").sortWithinPartitions("key", "context", "id", "tie", "start")
-    ranges = dealt.mapInArrow(_emit_repeats, "id long, tie int, start int, stop int").union(whole)
+    ranges = arrow(dealt, _emit_repeats, "id long, tie long, start int, stop int").union(whole)
     found = ranges.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"), F.lit(False).alias("copy"))
     marks = found.select("id", "tie", "ranges", "copy").union(copies.select("id", "tie", F.lit(None).cast("array<struct<start:int,stop:int>>"), "copy"))
     joined = texts.join(marks.hint("shuffle_hash"), ["id", "tie"], "left")
     doc = F.when(F.col("id") != _LEAST, F.col("id")).alias("doc_id")
-    return joined.select(doc, "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges").mapInArrow(_removal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return arrow(joined.select(doc, "text", F.coalesce("copy", F.lit(False)).alias("copy"), "ranges"), _removal, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

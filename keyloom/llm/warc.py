@@ -3,23 +3,30 @@
 Records lie in files of FILE_RECORDS, ordered by their offset. A leaf is the SHA-256 of one record's bytes with its offset
 range; a node is the SHA-256 of its up to FANOUT children's digests in order; the root of each file is a leaf of the
 collection's tree. Two replicas are compared root first: only the children of nodes that differ are looked at, so a sound
-replica costs one comparison, and each corrupt record is found in log(records) steps.
+replica costs one comparison, and each corrupt record is found in log(records) steps. Both trees get the height that the
+larger replica needs (a smaller one has only children above its root), so replicas of any sizes are compared so.
 
 Each level is one aggregation by the level above; no group has more than FANOUT children. The trees are staged, level by
-level, and a level's comparison reads only its own rows.
+level, and a level's comparison reads only its own rows. The leaves that differ are then told apart: `corrupt` (other bytes),
+`moved` (the same bytes at another place), `missing` (the replica lacks the record) and `extra` (only the replica has it).
 
-Defined results: null url or html are empty; records of equal id are ordered by url and html, so ties and repeated rows
-keep one order; a record that one replica lacks differs; empty tables give an empty result; extra columns are ignored.
+Defined results: null url or html are empty; records of equal id are ordered by their digest, so ties and repeated rows keep
+one order; records without id are dealt to NULL_FILES files by their url; empty tables give an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import read, staged
 
-FILE_RECORDS, FANOUT, COLLECTION, DAMAGE = 1024, 16, -2, 251
+FILE_RECORDS, FANOUT, COLLECTION, DAMAGE, NULL_FILES = 1024, 16, -1, 251, 4096
+#: Makes the numbers of all files non-negative: those of records without id come first.
+FIRST_FILE = NULL_FILES + 2
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -35,7 +42,9 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 def manifest(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """file, ordinal, page_id, start, stop, digest of every record, as written: files hold FILE_RECORDS consecutive ids."""
     rec = record_bytes(F.col(page_id), F.col(url), F.col(html))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.floor(F.col(page_id) / FILE_RECORDS), F.lit(-1)).cast("long").alias("file"), F.octet_length(rec).cast("long").alias("size"), F.sha2(rec, 256).alias("digest"))
+    head = F.conv(F.substr(F.md5(F.coalesce(F.col(url), F.lit("")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    file = F.coalesce(F.floor(F.col(page_id) / FILE_RECORDS).cast("long"), -2 - head % NULL_FILES)
+    rows = pages.select(F.col(page_id).alias("page_id"), file.cast("long").alias("file"), F.octet_length(rec).cast("long").alias("size"), F.sha2(rec, 256).alias("digest"))
     order = Window.partitionBy("file").orderBy("page_id", "digest")
     stop = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "page_id", (stop - F.col("size")).alias("start"), stop.alias("stop"), "digest")
@@ -51,25 +60,30 @@ def _level(nodes: DataFrame, pfile: Column, place: Column, name: str) -> DataFra
     return staged(nodes.select("file", "node", "hash", pfile.cast("long").alias("pfile"), F.floor(place / FANOUT).cast("long").alias("pnode")), name)
 
 
-def _top(level: DataFrame, column: str) -> int:
-    return level.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
+def heights(*replicas: DataFrame) -> tuple[int, int]:
+    """Levels above the records in a file, and above the files' roots: those that the largest of the replicas needs."""
+    most, files = 0, 0
+    for r in replicas:
+        top, hi = r.agg(F.coalesce(F.max("ordinal"), F.lit(0)), F.coalesce(F.max("file"), F.lit(0))).first()
+        most, files = max(most, top), max(files, hi + FIRST_FILE)
+    levels = lambda n: max(1, math.ceil(math.log(n + 1, FANOUT) - 1e-12))
+    return levels(most), levels(files)
 
 
-def tree(records: DataFrame, name: str) -> list[DataFrame]:
+def tree(records: DataFrame, name: str, height: tuple[int, int]) -> list[DataFrame]:
     """Levels from the records up to the single root: (file, node, hash) and the parent's (pfile, pnode).
 
     Above the files' roots, file is COLLECTION and nodes number the files.
     """
     leaf = F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.col("stop").cast("string"), "digest"), 256)
     nodes, levels = records.select("file", F.col("ordinal").alias("node"), leaf.alias("hash")), []
-    while True:
+    for _ in range(height[0]):
         levels.append(_level(nodes, F.col("file"), F.col("node"), f"{name}-{len(levels)}"))
-        if not _top(levels[-1], "node"):
-            break
         nodes = _parents(levels[-1])
+    nodes = nodes.select("file", "node", "hash")
     # the files' roots, dealt to the collection's tree
-    levels[-1] = _level(levels[-1], F.lit(COLLECTION), F.col("file") + 1, f"{name}-roots")
-    while _top(levels[-1], "pnode") or levels[-1].where(F.col("file") != COLLECTION).limit(1).count():
+    levels.append(_level(nodes, F.lit(COLLECTION), F.col("file") + FIRST_FILE, f"{name}-roots"))
+    for _ in range(height[1]):
         levels.append(_level(_parents(levels[-1]), F.lit(COLLECTION), F.col("node"), f"{name}-{len(levels)}"))
     return levels
 
@@ -77,8 +91,6 @@ def tree(records: DataFrame, name: str) -> list[DataFrame]:
 def compare(one: list[DataFrame], two: list[DataFrame]) -> tuple[DataFrame, list[int]]:
     """(file, node) of the records that differ, and how many nodes each level compared, from the root down."""
     suspect, looked = None, []
-    if len(one) != len(two):  # one replica has more files or a longer file: compare all records
-        one, two = one[:1], two[:1]
     for i in range(len(one) - 1, -1, -1):
         a, b = (x[i] if suspect is None else x[i].join(suspect, ["pfile", "pnode"], "left_semi") for x in (one, two))
         both = a.select("file", "node", "hash").join(b.select("file", "node", F.col("hash").alias("other")), ["file", "node"], "full")
@@ -88,6 +100,33 @@ def compare(one: list[DataFrame], two: list[DataFrame]) -> tuple[DataFrame, list
     return suspect.select(F.col("pfile").alias("file"), F.col("pnode").alias("node")), looked
 
 
+def findings(primary: DataFrame, replica: DataFrame) -> DataFrame:
+    """The records at places that differ, each once: the primary's columns (the replica's for `extra`) and `status`."""
+    height = heights(primary, replica)
+    bad, _ = compare(tree(primary, "fixity-primary", height), tree(replica, "fixity-replica", height))
+    bad = bad.select("file", F.col("node").alias("ordinal"))
+    columns = ["file", "ordinal", "page_id", "start", "stop", "digest"]
+    there = [F.coalesce("page_id", F.lit(0)).alias("id"), F.col("page_id").isNull().alias("no_id")]
+    sides = []
+    for records in (primary, replica):
+        own = records.join(bad, ["file", "ordinal"], "left_semi")
+        # equal records of one file are told apart by their order
+        nth = F.row_number().over(Window.partitionBy("file", "digest", "page_id").orderBy("ordinal"))
+        sides.append(own.select(F.struct(*columns).alias("r"), "file", "digest", nth.alias("nth"), *there))
+    keys = ["file", "id", "no_id", "digest", "nth"]
+    both = sides[0].withColumnRenamed("r", "p").join(sides[1].withColumnRenamed("r", "q"), keys, "full")
+    both = staged(both, "fixity-suspects")
+    moved = both.where("p IS NOT NULL AND q IS NOT NULL AND (p.ordinal != q.ordinal OR p.start != q.start)").select("p.*", F.lit("moved").alias("status"))
+    # what is left over: other bytes under the same id, or no counterpart at all
+    rest = both.where("p IS NULL OR q IS NULL").withColumn("side", F.col("p").isNull())
+    at = F.row_number().over(Window.partitionBy("file", "id", "no_id", "side").orderBy(F.coalesce("p.ordinal", "q.ordinal")))
+    rest = rest.withColumn("at", at).select("file", "id", "no_id", "at", "p", "q", "side")
+    lost, found = rest.where("NOT side").drop("q", "side"), rest.where("side").drop("p", "side")
+    paired = lost.join(found, ["file", "id", "no_id", "at"], "full")
+    status = F.when(F.col("p").isNull(), "extra").when(F.col("q").isNull(), "missing").otherwise("corrupt")
+    return moved.union(paired.select(F.coalesce("p", "q").alias("r"), status.alias("status")).select("r.*", "status"))
+
+
 def damaged(pages: DataFrame, html: str = "html") -> DataFrame:
     """A replica for drills: the records whose html's leading MD5 bits are a multiple of DAMAGE have their first character replaced."""
     body = F.coalesce(F.col(html), F.lit(""))
@@ -96,10 +135,10 @@ def damaged(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Manifest rows of the primary with `corrupt`: whether the descent found the replica's record to differ."""
-    bad, _ = compare(tree(primary, "fixity-primary"), tree(replica, "fixity-replica"))
-    bad = bad.select(F.col("file"), F.col("node").alias("ordinal"), F.lit(True).alias("corrupt"))
-    return primary.join(bad, ["file", "ordinal"], "left").withColumn("corrupt", F.coalesce("corrupt", F.lit(False)))
+    """Manifest rows of the primary, then those only the replica has, with `status` (sound or as in findings) and `corrupt`."""
+    found = staged(findings(primary, replica), "fixity-findings")
+    marked = primary.join(found.where("status != 'extra'").select("file", "ordinal", "status"), ["file", "ordinal"], "left").withColumn("status", F.coalesce("status", F.lit("sound")))
+    return marked.unionByName(found.where("status = 'extra'")).withColumn("corrupt", F.col("status") == "corrupt")
 
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +155,7 @@ _RECORD = """'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <
 #: Holds where the first character of a damaged html is one byte, as in `<`; a longer one would move the offsets behind it.
 OP1_SQL = f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, chr(13) || chr(10) AS e FROM pages),
-r AS (SELECT page_id, coalesce(page_id // {FILE_RECORDS}, -1) AS warc_file, {_RECORD} AS rec,
+r AS (SELECT page_id, coalesce(page_id // {FILE_RECORDS}, -2 - CAST('0x' || substr(md5(coalesce(url, '')), 1, 8) AS BIGINT) % {NULL_FILES}) AS warc_file, {_RECORD} AS rec,
   length(body) > 0 AND CAST('0x' || substr(md5(body), 1, 8) AS BIGINT) % {DAMAGE} = 0 AS corrupt FROM p),
 d AS (SELECT page_id, warc_file, strlen(rec) AS size, sha256(rec) AS digest, corrupt FROM r),
 o AS (SELECT *, row_number() OVER w - 1 AS ordinal, CAST(sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM d WINDOW w AS (PARTITION BY warc_file ORDER BY page_id, digest))

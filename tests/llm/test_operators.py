@@ -43,15 +43,28 @@ def none(spark):
 
 def test_fixity_finds_each_damaged_record(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(3000)] + [(5, "u5", "<p>5</p>"), (5, None, None), (None, "u", "x")], "page_id long, url string, html string")
-    bad = pages.withColumn("html", F.when(F.col("page_id").isin(17, 2049), F.lit("<q>!</q>")).otherwise(F.col("html")))
-    one = warc.manifest(pages)
-    found = warc.audit(one, warc.manifest(bad)).where("corrupt").select("page_id").distinct().collect()
-    assert {17, 2049} <= {r.page_id for r in found}
-    looked = warc.compare(warc.tree(one, "a"), warc.tree(one, "b"))[1]
+    bad = pages.withColumn("html", F.when(F.col("page_id").isin(17, 2049), F.concat(F.lit("<q"), F.substr("html", F.lit(3)))).otherwise(F.col("html")))
+    one = warc.manifest(pages).cache()
+    found = warc.audit(one, warc.manifest(bad)).groupBy("status").agg(F.collect_set("page_id").alias("ids"), F.count("*").alias("n")).collect()
+    assert {r.status: (sorted(r.ids) if r.status == "corrupt" else r.n) for r in found} == {"corrupt": [17, 2049], "sound": 3001}
+    height = warc.heights(one)
+    looked = warc.compare(warc.tree(one, "a", height), warc.tree(one, "b", height))[1]
     assert sum(looked) == 1
     assert warc.audit(one.limit(0), one.limit(0)).count() == 0
 
 
+def test_fixity_tells_moved_missing_and_extra(spark):
+    rows = [(i, f"u{i}", f"<p>{i}</p>") for i in range(60)]
+    other = [r for r in rows if r[0] != 20] + [(60 + i, "new", "page") for i in range(20_000, 20_002)] + [(30, "u30", "<p>30</p>")]
+    other[10] = (10, "u10", "<p>longer than before</p>")
+    schema = "page_id long, url string, html string"
+    primary, replica = (warc.manifest(spark.createDataFrame(x, schema)) for x in (rows, other))
+    got = {(r.page_id, r.status) for r in warc.audit(primary, replica).collect()}
+    assert (20, "missing") in got and (10, "corrupt") in got and {(20_060, "extra"), (20_061, "extra"), (30, "extra")} <= got
+    assert {i for i, s in got if s == "moved"} == set(range(11, 60)) - {20} and {i for i, s in got if s == "sound"} == set(range(10))
+    assert {r.status for r in warc.audit(primary, primary.limit(0)).collect()} == {"missing"} and {r.status for r in warc.audit(primary.limit(0), primary).collect()} == {"extra"}
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for d, t in sorted(rows):
