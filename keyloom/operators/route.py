@@ -60,8 +60,11 @@ def child_of(config: TableConfig, segments: list[Segment], today: date) -> Colum
     return _range_case(config, segments, today)
 
 
-def route(rows: DataFrame, config: TableConfig, segments: list[Segment], today: date) -> DataFrame:
-    """rows with `child`. Rows with a null or unmatched key go to default and are never dropped."""
+def route(rows: DataFrame, config: TableConfig, segments: list[Segment], today: date, inner: dict[str, tuple[TableConfig, list[Segment]]] | None = None) -> DataFrame:
+    """rows with `child`. Rows with a null or unmatched key go to default and are never dropped.
+
+    inner: for composites, the layout and segments inside children of the first level; others are laid out without counts.
+    """
     if config.layout in ("hash_branches", "list_split") or len(segments) <= CASE_SEGMENTS:
         routed = rows.withColumn("child", child_of(config, segments, today))
     else:
@@ -78,11 +81,14 @@ def route(rows: DataFrame, config: TableConfig, segments: list[Segment], today:
         return routed
     from ..plans.layout import build_plan
 
-    inner = build_plan(config.child, today, {}).segments
-    sub = child_of(config.child, list(inner), today)
-    name = F.concat(F.col("child"), F.expr(f"substring(__sub, {len(config.child.table_name) + 1})"))
+    def suffix(c: TableConfig, own: list[Segment]) -> Column:
+        return F.substr(child_of(c, own, today), F.lit(len(c.table_name) + 1))
+
+    name = suffix(config.child, list(build_plan(config.child, today, {}).segments))
+    for parent, (c, own) in (inner or {}).items():
+        name = F.when(F.col("child") == parent, suffix(c, own)).otherwise(name)
     matched = F.col("child") != F.lit(f"{config.table_name}_default")
-    return routed.withColumn("__sub", sub).withColumn("child", F.when(matched, name).otherwise(F.col("child"))).drop("__sub")
+    return routed.withColumn("child", F.when(matched, F.concat("child", name)).otherwise(F.col("child")))
 
 
 def child_counts(rows: DataFrame, config: TableConfig, segments: list[Segment], today: date) -> DataFrame:

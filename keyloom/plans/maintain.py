@@ -7,21 +7,24 @@ the last manifest; running again is the resume.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..operators.heat import bucket_of, heatmap
+from ..operators.heat import bucket_of, heatmap, key_of
+from ..operators.move import MissingConflictKey
 from ..operators.route import route
-from ..sources.catalog import Catalog, LockNotAcquired
+from ..sources.catalog import Catalog, LockNotAcquired, merged
 from . import diff
 from .config import Registry, TableConfig
-from .layout import ARCHIVE, DEFAULT, HOT, active_window, build_plan
-from .model import AuditResult, Plan, PlanReport, RunMetrics, RunSummary, Segment
+from .layout import ARCHIVE, DEFAULT, HOT, active_window, branch_children, build_plan
+from .model import AuditResult, Plan, PlanReport, RunMetrics, RunSummary, Segment, shown
 
 
 class RunFailed(RuntimeError):
@@ -40,15 +43,27 @@ class Maintenance:
         """Registers a dataset and puts all rows into its default child (hash layouts: routed at once)."""
         self.catalog.register(config.table_name, rows.schema, config.partition_key_column)
         name = f"{config.table_name}_{DEFAULT}"
-        self._commit(config, rows.withColumn("child", F.lit(name)), {name: Segment(name, None, None, DEFAULT)}, keep={}, signature=None)
+        self._commit(config, rows.withColumn("child", F.lit(name)), {name: Segment(name, None, None, DEFAULT)}, keep={}, signature=None, based=self.catalog.manifest(config.table_name))
 
     # planning
     def counts(self, config: TableConfig) -> tuple[dict, dict]:
-        """(bucket -> rows, bucket -> rows of its dedicated child), from one aggregation."""
+        """(bucket -> rows, bucket -> rows of its dedicated child), from one aggregation.
+
+        Only children that hold several buckets and may change are read: default, fillers and future. Archives are not, and the
+        rows of a child with one bucket stand in the manifest.
+        """
         if config.layout == "list_split":
             return {}, {}
-        found = heatmap(self.catalog.read(config.table_name), bucket_of(config)).collect()  # a row for each bucket
-        dedicated = {s.start: n for s, n in self._sized(config) if s.kind == HOT and not isinstance(s.start, dict)}
+        children = self.catalog.manifest(config.table_name)["children"]
+        sized = self._sized(config)
+        if config.layout == "hash_branches":
+            dedicated = {s.start["remainder"]: n for s, n in sized if isinstance(s.start, dict)}
+        else:
+            dedicated = {s.start: n for s, n in sized if s.kind == HOT}
+        mixed = [n for n, c in children.items() if c["rows"] and c["kind"] not in (HOT, ARCHIVE)]
+        if not mixed:
+            return {}, dedicated
+        found = heatmap(self.catalog.read(config.table_name, children=mixed), bucket_of(config)).collect()  # a row for each bucket
         lo = active_window(config, self.today)[0]
         return {r.bucket: r.n for r in found if r.bucket is not None and (isinstance(lo, int) or r.bucket >= lo)}, dedicated
 
@@ -70,20 +85,22 @@ class Maintenance:
         if not self.catalog.exists(config.table_name):
             return diff.audit(config, None, None, self.today)
         default = self.catalog.manifest(config.table_name)["children"].get(f"{config.table_name}_{DEFAULT}")
-        return diff.audit(config, self.catalog.attached(config.table_name), default and default["rows"], self.today)
+        out = diff.audit(config, self.catalog.attached(config.table_name), default and default["rows"], self.today)
+        if orphans := self.catalog.orphans(config.table_name):
+            out.warnings.append(f"{len(orphans)} generations that no manifest names")
+        return out
 
     # applying
-    def _commit(self, config: TableConfig, routed: DataFrame, targets: dict[str, Segment], keep: dict, signature: str | None) -> int:
+    def _commit(self, config: TableConfig, routed: DataFrame, targets: dict[str, Segment], keep: dict, signature: str | None, based: dict) -> int:
+        """Writes the routed rows and commits on the manifest that they were read from."""
         t = config.table_name
-        based = self.catalog.manifest(t)
         stats = self.catalog.write_rows(t, routed)
         children = dict(keep)
         for name in stats.keys() | targets.keys():
             segment = targets.get(name) or self._archive(config, name)
             entry = self.catalog.child_entry(segment, stats.get(name), default=segment.kind == DEFAULT)
             if name in children:  # rows that join a child kept as it is
-                old = children[name]
-                entry |= {"paths": old["paths"] + entry["paths"], "rows": old["rows"] + entry["rows"], "min_key": min(filter(None, (old["min_key"], entry["min_key"])), default=None), "max_key": max(filter(None, (old["max_key"], entry["max_key"])), default=None)}
+                entry = merged(children[name], entry, self.catalog.key_type(based))
             children[name] = entry
         if config.needs_default:
             d = f"{t}_{DEFAULT}"
@@ -92,9 +109,9 @@ class Maintenance:
         return sum(s["rows"] for s in stats.values())
 
     def _archive(self, config: TableConfig, name: str) -> Segment:
-        if name == f"{config.table_name}_{DEFAULT}":
+        if name == f"{config.table_name}_{DEFAULT}" or (config.child is not None and name.endswith(f"_{DEFAULT}")):
             return Segment(name, None, None, DEFAULT)
-        if config.is_date and (b := cal.parse_child(config.table_name, name, config.bucket)):
+        if config.child is None and config.is_date and (b := cal.parse_child(config.table_name, name, config.bucket)):
             return Segment(name, b, cal.next_bucket(b, config.bucket), ARCHIVE)
         if config.layout == "integer_window" and "_ids_" in name:
             lo, hi = (int(x) for x in name.rsplit("_ids_", 1)[1].split("_"))
@@ -104,28 +121,70 @@ class Maintenance:
     def rebalance(self, config: TableConfig) -> tuple[int, str, bool]:
         """(rows moved, plan signature, changed). Children that stay as they are keep their files."""
         t = config.table_name
-        plan, m = self.plan(config), self.catalog.manifest(t)
+        m = self.catalog.manifest(t)
+        self.require_columns(config, m)
+        inner: dict = {}
+        if config.child is None:
+            plan = self.plan(config)
+        else:
+            plan, parents, inner = self.composite_plan(config)
         target = [s for s in plan.segments if config.maintenance_backend != "layout_only" or s.name in m["children"]]
         ops = diff.operations(self.tail(config), target)
-        default = m["children"].get(f"{t}_{DEFAULT}", {"rows": 0})
+        waiting = sum(c["rows"] for c in m["children"].values() if c.get("default"))
         changed = any(o.action != "keep" for o in ops)
         settled = m.get("signature") == plan.signature()
-        if not changed and (not default["rows"] or settled):
+        if not changed and (not waiting or settled):
             return 0, plan.signature(), False
         same = {o.segment.name for o in ops if o.action == "keep"} if config.incremental_rebalance else set()
         tail = {s.name for s in self.tail(config)}
-        moving = [n for n in m["children"] if (n in tail and n not in same) or n == f"{t}_{DEFAULT}"]
+        moving = [n for n, c in m["children"].items() if (n in tail and n not in same) or c.get("default")]
         keep = {n: c for n, c in m["children"].items() if n not in moving}
         for s in target:
             if s.name in keep:
                 keep[s.name] = keep[s.name] | {"kind": s.kind}
-        rows = self.catalog.read(t, children=moving)
+        rows = self.catalog.read(t, children=moving, version=m["version"])
         targets = {s.name: s for s in target if s.name not in keep}
-        n = self._commit(config, route(rows, config, target, self.today), targets, keep, plan.signature())
+        routed = route(rows, config, target, self.today) if config.child is None else route(rows, config, parents, self.today, inner)
+        n = self._commit(config, routed, targets, keep, plan.signature(), m)
+        self.notify("moved", {"table": t, "rows": n, "archived": sorted(set(self.catalog.manifest(t)["children"]) - set(m["children"]) - {s.name for s in target})})
         return n, plan.signature(), True
 
+    def require_columns(self, config: TableConfig, manifest: dict) -> None:
+        """The partition key and the conflict key must be columns of the table: without them moves can't tell rows apart."""
+        have = {f["name"] for f in json.loads(manifest["schema"])["fields"]}
+        missing = [c for c in {config.partition_key_column, *config.conflict_key} if c not in have]
+        if missing:
+            raise MissingConflictKey(f"{config.table_name} has no column {', '.join(sorted(missing))}")
+
+    def composite_plan(self, config: TableConfig) -> tuple[Plan, list[Segment], dict]:
+        """The plan over both levels, the segments of the first, and for each of these its inner layout and segments.
+
+        Hot buckets are found on both levels: for the inner one from one aggregation by first-level child and inner bucket.
+        """
+        t, outer = config.table_name, replace(config, child=None)
+        m = self.catalog.manifest(t)
+        mixed = [n for n, c in m["children"].items() if c["rows"] and (c["kind"] != ARCHIVE or isinstance(c["start"], dict))]
+        rows = self.catalog.read(t, children=mixed, version=m["version"])
+        counts = {} if outer.layout == "list_split" else {r.bucket: r.n for r in heatmap(rows, bucket_of(outer)).collect() if r.bucket is not None}
+        parents = list(build_plan(outer, self.today, counts).segments)
+        moduli = {name: b["modulus"] for name, b in branch_children(outer) if "modulus" in b}
+        layouts = {p.name: replace(config.child, table_name=p.name, parent=t, modulus=moduli.get(p.name, config.child.modulus)) for p in parents}
+        found: dict[str, dict] = {name: {} for name in layouts}
+        if config.child.layout != "list_split":
+            bucket = F.lit(None)
+            for name, c in layouts.items():
+                bucket = F.when(F.col("child") == name, bucket_of(c)).otherwise(bucket)
+            for r in heatmap(route(rows, outer, parents, self.today), bucket, "child").collect():  # a row for each bucket of each child
+                if r.child in found and r.bucket is not None:
+                    found[r.child][r.bucket] = r.n
+        inner = {name: (c, list(build_plan(c, self.today, found[name]).segments)) for name, c in layouts.items()}
+        both = [
+            Segment(s.name, {"parent": [shown(p.start), shown(p.end)], "child": [shown(s.start), shown(s.end)]}, None, s.kind) for p in parents for s in inner[p.name][1]
+        ]
+        return Plan(tuple(both)), parents, inner
+
     def premake(self, config: TableConfig) -> list[str]:
-        """Empty children from this month to premake_months ahead, where missing."""
+        """Empty children from this month to premake_months ahead, where missing; then default's rows that have a child go there."""
         t, made = config.table_name, []
         m = self.catalog.manifest(t)
         for i in range(config.premake_months + 1):
@@ -134,10 +193,39 @@ class Maintenance:
             if name not in m["children"]:
                 m["children"][name] = self.catalog.child_entry(Segment(name, b, cal.add_months(b, 1), HOT), None)
                 made.append(name)
-        if made:
+        default = m["children"].get(f"{t}_{DEFAULT}")
+        if default and default["rows"]:
+            self._drain(config, m, changed=bool(made))
+        elif made:
             self.catalog.commit(t, m, m["version"])
         return made
 
+    def _drain(self, config: TableConfig, m: dict, changed: bool) -> int:
+        """Moves default's rows into the attached children that take their keys; commits if that or `changed` alters anything."""
+        t, name = config.table_name, f"{config.table_name}_{DEFAULT}"
+        segments = [Segment(n, date.fromisoformat(c["start"]["date"]) if isinstance(c["start"], dict) else c["start"], date.fromisoformat(c["end"]["date"]) if isinstance(c["end"], dict) else c["end"], c["kind"]) for n, c in m["children"].items() if isinstance(c["start"], (dict, date))]
+        key, child = key_of(config), F.lit(name)
+        for s in segments:
+            child = F.when((key >= F.lit(s.start)) & (key < F.lit(s.end)), F.lit(s.name)).otherwise(child)
+        routed = self.catalog.read(t, children=[name], version=m["version"]).withColumn("child", child)
+        if routed.where(F.col("child") != name).isEmpty():
+            if changed:
+                self.catalog.commit(t, m, m["version"])
+            return 0
+        keep = {n: c for n, c in m["children"].items() if n != name}
+        return self._commit(config, routed, {name: Segment(name, None, None, DEFAULT)}, keep, m.get("signature"), m)
+
+    def compact(self, config: TableConfig, over: int = 8) -> list[str]:
+        """Rewrites children that lie in more than `over` generations, as streaming ingest leaves them, into one each."""
+        m = self.catalog.manifest(config.table_name)
+        many = [n for n, c in m["children"].items() if len(c["paths"]) > over]
+        for name in many:
+            stats = self.catalog.write_rows(config.table_name, self.catalog.read(config.table_name, children=[name], version=m["version"]).withColumn("child", F.lit(name)))
+            m["children"][name] |= stats[name]
+        if many:
+            self.catalog.commit(config.table_name, m, m["version"])
+        return many
+
     def retention(self, config: TableConfig) -> list[str]:
         """Children whose bucket is older than the month-aligned cutoff; dropped or detached if retention_apply, else only named."""
         if not config.retention_months or not config.is_date:
@@ -160,25 +248,31 @@ class Maintenance:
             return RunMetrics(config.table_name, skipped=True, skip_reason="not_partitioned")
         if config.maintenance_backend == "external":
             return RunMetrics(config.table_name, skipped=True, skip_reason="external_owner")
+        phase = "audit"
         try:
             for w in self.audit(config).warnings:
                 self.notify(w, {"table": config.table_name})
+            phase = "rebalance"
             if config.layout == "premake_monthly":
                 self.premake(config)
             else:
                 out.rows_moved, out.plan_signature, _ = self.rebalance(config)
+            phase = "retention"
             if config.maintenance_backend == "engine":
                 self.retention(config)
+            phase = "done"
         except LockNotAcquired:
             return RunMetrics(config.table_name, skipped=True, skip_reason="lock_not_acquired")
-        out.duration_ms = int(1000 * (time.monotonic() - began))
+        finally:
+            out.duration_ms = int(1000 * (time.monotonic() - began))
+            self.catalog.record_run(config.table_name, {"today": self.today.isoformat(), "phase": phase, "rows_moved": out.rows_moved, "plan_signature": out.plan_signature, "duration_ms": out.duration_ms})
         return out
 
     split_future = split_pressured = collapse_low_volume = rebalance
 
     def run(self, registry: Registry, table: str | None = None, continue_on_error: bool = False) -> RunSummary:
         summary = RunSummary()
-        for config in registry.configs_for(table):
+        for config in registry if table is None else filter(None, [registry.find(table)]):  # a composite is maintained as one table
             try:
                 summary.tables.append(self.run_table(config))
             except Exception as e:

@@ -56,12 +56,14 @@ def test_retention_previews_then_drops(spark, tmp_path):
 def test_premake_and_race(spark, tmp_path):
     cat, c = Catalog(spark, str(tmp_path)), cfg.premake_monthly("p", "occurred_on", premake_months=2)
     m = Maintenance(cat, TODAY)
-    m.create(c, rows(spark, TODAY))
+    m.create(c, rows(spark, TODAY, date(2026, 9, 30), date(2020, 1, 1), None))
     assert m.premake(c) == ["p_2026_07", "p_2026_08", "p_2026_09"] and m.premake(c) == []
+    assert {r.child: r.rows for r in cat.children_df("p").collect()} == {"p_2026_07": 1, "p_2026_08": 0, "p_2026_09": 1, "p_default": 2}
     old = cat.manifest("p")
     cat.set_read_only("p", True)
     with pytest.raises(LockNotAcquired):
         cat.commit("p", old, old["version"])
+    assert not [n for n in cat._names(f"{cat.root}/p/manifest") if n.startswith(".")]
 
 
 def test_run_reports_failures_and_goes_on(spark, tmp_path):
@@ -119,9 +121,9 @@ def test_streamed_batches_are_routed_once(spark, tmp_path):
     assert append_batch(cat, C, late, TODAY, 0) == 2 and append_batch(cat, C, late, TODAY, 0) == 0
     late.where("id < 100").selectExpr("id + 50 AS id", "occurred_on").write.parquet(str(tmp_path / "in"))
     ingest(spark.readStream.schema(late.schema).parquet(str(tmp_path / "in")), cat, C, TODAY, str(tmp_path / "ck")).awaitTermination(60)
-    assert cat.read("w").count() == 4  # batch 0 of another stream counts as seen
+    assert cat.read("w").count() == 7  # batches are counted by stream
     m.run_table(C)
-    assert {r.child: r.rows for r in cat.children_df("w").collect()}["w_2020_01"] == 1 and cat.read("w").count() == 4
+    assert {r.child: r.rows for r in cat.children_df("w").collect()}["w_2020_01"] == 2 and cat.read("w").count() == 7
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -140,3 +142,68 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["tables"][0]["rows_moved"] == 1
     main(["audit", *args], spark)
     assert json.loads(capsys.readouterr().out)[0]["gaps"] == []
+
+
+def test_integer_bounds_compare_as_numbers(spark, tmp_path):
+    from keyloom.streaming.ingest import append_batch
+
+    cat, c = Catalog(spark, str(tmp_path)), cfg.integer_window("n", "id", active_id_width=10_000, current_band_size=10_000)
+    m, ids = Maintenance(cat, TODAY), lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    m.create(c, ids(900, 950))
+    m.run_table(c)
+    append_batch(cat, c, ids(1000, 2000), TODAY, 0, "a")
+    append_batch(cat, c, ids(77, 950), TODAY, 0, "b")
+    got = lambda *r: sorted(x.id for x in cat.read("n", key_range=r).collect())
+    assert got(1500, None) == [2000] and got(None, 950) == [77, 900] and got(950, 1001) == [950, 1000]
+    assert [x.id for x in cat.read("n", key_in=[2000, 5]).collect()] == [2000]
+    assert m.compact(c, over=1) == ["n_current"] and got(None, None) == [77, 900, 950, 1000, 2000] and cat.collect_garbage("n", keep_versions=1) >= 3
+    assert got(None, None) == [77, 900, 950, 1000, 2000] and cat.orphans("n") == [] and cat.runs("n")[-1]["phase"] == "done"
+
+
+def test_rebalance_loses_to_ingest_and_keeps_its_rows(spark, tmp_path, monkeypatch):
+    from keyloom.streaming.ingest import append_batch
+
+    cat = Catalog(spark, str(tmp_path))
+    m = Maintenance(cat, TODAY)
+    m.create(C, rows(spark, date(2026, 7, 1), date(2026, 7, 2)))
+    write = cat.write_rows
+
+    def late(t, routed):
+        monkeypatch.setattr(cat, "write_rows", write)
+        append_batch(cat, C, spark.createDataFrame([(9, date(2026, 8, 1))], "id long, occurred_on date"), TODAY, 0)
+        return write(t, routed)
+
+    monkeypatch.setattr(cat, "write_rows", late)
+    assert m.run_table(C).skip_reason == "lock_not_acquired" and len(m.audit(C).warnings) > 1
+    assert m.run_table(C).rows_moved == 3 and sorted(r.id for r in cat.read("w").collect()) == [0, 1, 9]
+
+
+def test_planning_reads_no_archive(spark, tmp_path, monkeypatch):
+    cat = Catalog(spark, str(tmp_path))
+    m = Maintenance(cat, TODAY)
+    m.create(C, rows(spark, date(2024, 6, 1), date(2026, 7, 10), date(2026, 9, 1), date(2026, 9, 2)))
+    m.run_table(C)
+    read, opened = cat.read, []
+    monkeypatch.setattr(cat, "read", lambda t, **how: opened.append(how["children"]) or read(t, **how))
+    assert m.plan(C).hot == (date(2026, 9, 1),) and opened == [["w_current"]]
+
+
+def test_composites_are_maintained(spark, tmp_path):
+    data = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None, i % 3, date(2026, 7, 1 + i % 20)) for i in range(60)], "id long, kind string, owner long, day date")
+    for n, c in enumerate((cfg.composite_list_hash("t", "kind", ["a", {"name": "b", "value": "b", "modulus": 2}], "owner", 4, ["id"]), cfg.composite_range_hash("t", "day", "owner", 4, ["id"]), cfg.composite_list_range("t", "kind", ["a"], "day", ["id"]))):
+        cat, r = Catalog(spark, str(tmp_path / str(n))), cfg.Registry()
+        r.register(c)
+        m = Maintenance(cat, TODAY)
+        m.create(c, data)
+        assert not m.run(r).tables[0].skipped
+        assert cat.read("t").count() == 60 and m.rebalance(c)[0] == 0
+        sizes = {x.child: x.rows for x in cat.children_df("t").collect()}
+        want = [{"t_a_a_00", "t_a_a_03", "t_b_a_01"}, {"t_current_a_00", "t_future_a_03"}, {"t_a_current", "t_a_future"}][n]
+        assert want <= set(sizes) and "t_b_a_02" not in sizes and sizes["t_default"] == (12, 0, 36)[n]
+
+
+def test_a_crash_before_the_rename_leaves_the_last_manifest(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    cat.register("w", rows(spark).schema, "occurred_on")
+    (tmp_path / "w" / "manifest" / ".000000001.json-dead").write_text("{")
+    assert cat.manifest("w")["version"] == 0 and cat.commit("w", cat.manifest("w"), 0) == 1

@@ -9,7 +9,6 @@ import pytest
 from keyloom.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"rollover_final_counts", "two_level_read", "id_only_read", "rebalance_idempotent", "hot_switch_roundtrip"}  # same code as their neighbours; the driver runs them
 
 
 def plain(df):
@@ -26,7 +25,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-@pytest.mark.parametrize("name", sorted(ORACLES.keys() - SLOW - {"audit_summary", "compare_counts"}))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, con, name):
     got, want = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
