@@ -9,7 +9,8 @@ so sketches merge exactly, in any order and on any partitioning, and every quant
 2 ** -(SKETCH_BITS - 1). A hot source is no hot key: counts are summed before the shuffle, and a group has a bounded
 number of buckets.
 
-A fence stands `factor` spreads from the median, a spread being the distance between two quantiles; no cutoff is a constant.
+A fence stands `factor` spreads from the median, a spread being the distance between two quantiles; no cutoff is a constant. A
+spread is never taken as finer than the sketch's error at its two ends, so a group of uniform texts bears small deviations.
 A group's median and spread are drawn to those of its language, and these to the corpus's, as if the merged sketch held
 PRIOR documents of the group: smoothly, so a group's size switches nothing.
 
@@ -114,9 +115,9 @@ def fences(sketch: DataFrame) -> DataFrame:
     percents = sorted({50, *(q for rule in RULES.values() for q in rule[2:4])})
     quantiles = [F.min(F.when(100 * F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(f"q{q}") for q in percents]
     table = ranked.groupBy("level", "lang", "source", "measure").agg(F.max("total").alias("n"), *quantiles)
-    spread = F.lit(None).cast("long")
+    spread, error = F.lit(None).cast("long"), 2 * F.call_function("shiftright", F.col("q50"), F.lit(SKETCH_BITS - 1))
     for k, (_, _, low, high, factor) in RULES.items():
-        spread = F.when(F.col("measure") == k, factor * (F.col(f"q{high}") - F.col(f"q{low}"))).otherwise(spread)
+        spread = F.when(F.col("measure") == k, factor * F.greatest(F.col(f"q{high}") - F.col(f"q{low}"), error)).otherwise(spread)
     table = table.select("level", "lang", "source", "measure", "n", F.col("q50").alias("c"), spread.alias("r"))
     own, lang, top = (table.where(F.col("level") == k).drop("level") for k in (0, 1, 2))
     drawn = lambda x, y, n: F.expr(f"({n} * {x} + {PRIOR} * {y}) div ({n} + {PRIOR})")
@@ -178,7 +179,7 @@ k AS (SELECT lang, source, measure, (v >> s) << s AS bucket FROM (SELECT *, grea
 h AS (SELECT level, l, g, measure, bucket, count(*) AS n FROM (SELECT 0 AS level, lang AS l, source AS g, * FROM k UNION ALL SELECT 1, lang, '', * FROM k UNION ALL SELECT 2, '', '', * FROM k) GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, l, g, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, l, g, measure) AS total FROM h),
 rules(measure, low, high, factor, lower, upper) AS (VALUES {_RULE_ROWS}),
-q AS (SELECT level, l, g, measure, CAST(max(total) AS BIGINT) AS n, min(bucket) FILTER (100 * upto >= 50 * total) AS c, max(factor) * (min(bucket) FILTER (100 * upto >= high * total) - min(bucket) FILTER (100 * upto >= low * total)) AS d
+q AS (SELECT level, l, g, measure, CAST(max(total) AS BIGINT) AS n, min(bucket) FILTER (100 * upto >= 50 * total) AS c, max(factor) * greatest(min(bucket) FILTER (100 * upto >= high * total) - min(bucket) FILTER (100 * upto >= low * total), 2 * ((min(bucket) FILTER (100 * upto >= 50 * total)) >> {SKETCH_BITS - 1})) AS d
   FROM c JOIN rules USING (measure) GROUP BY level, l, g, measure),
 q1 AS (SELECT a.l, a.measure, (a.n * a.c + {PRIOR} * z.c) // (a.n + {PRIOR}) AS c, (a.n * a.d + {PRIOR} * z.d) // (a.n + {PRIOR}) AS d FROM q a JOIN q z ON a.level = 1 AND z.level = 2 AND a.measure = z.measure),
 q0 AS (SELECT a.l, a.g, a.measure, (a.n * a.c + {PRIOR} * z.c) // (a.n + {PRIOR}) AS c, (a.n * a.d + {PRIOR} * z.d) // (a.n + {PRIOR}) AS d FROM q a JOIN q1 z ON a.level = 0 AND a.l = z.l AND a.measure = z.measure),
