@@ -332,7 +332,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts = keyed.select("id", "tie", "text")
     single = texts.join(copies.select("id", "tie").hint("shuffle_hash"), ["id", "tie"], "left_anti")
     placed = arrow(single, _emit_anchors, "h long, ctx long, id long, tie long, place long, dup int")
-    anchor, context = Window.partitionBy("h", "dup"), Window.partitionBy("h", "dup", "ctx").orderBy("id", "tie", "place")
+    # not by dup: a filter on a key of both windows would be pushed below the exchange, which then served one reader only
+    anchor, context = Window.partitionBy("h"), Window.partitionBy("h", "ctx").orderBy("id", "tie", "place")
     placed = placed.repartition("h")  # serves both windows
     placed = placed.withColumn("first", (F.row_number().over(context) == 1).cast("int")).withColumn("contexts", F.sum("first").over(anchor))
     ends = [F.shiftright("place", _AT_SHIFT).cast("int"), F.col("place").bitwiseAND(F.lit((1 << _AT_SHIFT) - 1)).cast("int")]
