@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators.heat import bucket_of, heatmap, key_of
-from ..operators.move import MissingConflictKey
+from ..operators.move import MissingConflictKey, delta_window, to_sync, upserted
 from ..operators.route import route
 from ..sources.catalog import Catalog, LockNotAcquired, merged
 from . import diff
@@ -184,13 +184,14 @@ class Maintenance:
         return Plan(tuple(both)), parents, inner
 
     def premake(self, config: TableConfig) -> list[str]:
-        """Empty children from this month to premake_months ahead, where missing; then default's rows that have a child go there."""
+        """Empty children from this month to premake_months ahead, where no child covers them; then default's rows that have a child go there."""
         t, made = config.table_name, []
         m = self.catalog.manifest(t)
+        covered = [s for s in self.catalog.attached(t, m["version"]) if isinstance(s.start, date)]
         for i in range(config.premake_months + 1):
             b = cal.add_months(self.today, i)
             name = cal.child_name(t, b, "month")
-            if name not in m["children"]:
+            if name not in m["children"] and not any(s.start < cal.add_months(b, 1) and (not isinstance(s.end, date) or b < s.end) for s in covered):
                 m["children"][name] = self.catalog.child_entry(Segment(name, b, cal.add_months(b, 1), HOT), None)
                 made.append(name)
         default = m["children"].get(f"{t}_{DEFAULT}")
@@ -200,6 +201,42 @@ class Maintenance:
             self.catalog.commit(t, m, m["version"])
         return made
 
+    def ensure_future(self, config: TableConfig, months_ahead: int = 1) -> list[str]:
+        """The months that a cutover's shadow needs before it takes live rows; more than three ahead are notified."""
+        if months_ahead > 3:
+            self.notify("many_months_ahead", {"table": config.table_name, "months": months_ahead})
+        return self.premake(replace(config, premake_months=months_ahead))
+
+    def sync(self, source: str, config: TableConfig, stale: str | None, months: int = 3, derived: dict | None = None) -> int:
+        """Brings config's table up to the dataset `source` within the months around today: rows that it lacks are added, older ones
+        (by `stale`) replaced, in one commit. Returns how many.
+
+        If the conflict key holds the partition key, only children that can hold a row of the delta are rewritten. Rows that no
+        child takes go to default. Layouts whose key isn't a date are compared whole.
+        """
+        t, key = config.table_name, list(config.conflict_key)
+        m, default = self.catalog.manifest(t), f"{config.table_name}_{DEFAULT}"
+        window = delta_window(self.today, months) if config.is_date else None
+        rows = self.catalog.read(source, key_range=window)
+        for name, value in (derived or {}).items():
+            rows = rows.withColumn(name, value)
+        keyed = config.partition_key_column in key
+        near = self.catalog.meeting(t, *window) if keyed and window else list(m["children"])
+        delta = to_sync(rows, self.catalog.read(t, children=near, version=m["version"]), key, stale).persist()
+        try:
+            attached = {s.name: s for s in self.catalog.attached(t, m["version"])}
+            routed = lambda df: route(df, config, list(attached.values()), self.today).withColumn("child", F.when(F.col("child").isin(list(attached)), F.col("child")).otherwise(F.lit(default)))
+            landing = {r.child: r.n for r in routed(delta).groupBy("child").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each child
+            if not landing:
+                return 0
+            moving = [n for n in near if not keyed or n in landing or m["children"][n].get("default")]
+            after = upserted(delta, self.catalog.read(t, children=moving, version=m["version"]), key, stale)
+            targets = {n: attached.get(n) or Segment(n, None, None, DEFAULT) for n in moving}
+            self._commit(config, routed(after), targets, {n: c for n, c in m["children"].items() if n not in moving}, None, m)
+            return sum(landing.values())
+        finally:
+            delta.unpersist()
+
     def _drain(self, config: TableConfig, m: dict, changed: bool) -> int:
         """Moves default's rows into the attached children that take their keys; commits if that or `changed` alters anything."""
         t, name = config.table_name, f"{config.table_name}_{DEFAULT}"

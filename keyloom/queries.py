@@ -282,6 +282,37 @@ def _switch(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([*out, ("back", catalog.read("orders").count())], "step string, rows long")
 
 
+@query("cutover_children", _FINAL.format(_ROUTED_O))
+def _cutover_children(s: SparkSession, d: str) -> DataFrame:
+    """The children of a live name after its shadow took it over, and after one more run of maintenance."""
+    catalog, shadow = Catalog(s, _root(s)), replace(O, table_name="shadow")
+    m = Maintenance(catalog, O_DAY)
+    m.create(O, orders(s, d))
+    m.create(shadow, orders(s, d))
+    m.run_table(shadow)
+    catalog.switch("orders", "shadow")
+    m.run_table(O)
+    return catalog.children_df("orders").select("child", "rows")
+
+
+_BEHIND = "o_orderkey % 5 <> 0"
+
+
+@query(
+    "delta_synced",
+    f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 AND NOT (o_orderdate >= '2000-04-01' AND o_orderdate < '2000-10-01') THEN o_totalprice - 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE {_BEHIND} OR (o_orderdate >= '2000-04-01' AND o_orderdate < '2000-10-01')",
+)
+def _delta_synced(s: SparkSession, d: str) -> DataFrame:
+    """A shadow that lacks rows and holds older ones, after its sync with the live table."""
+    catalog, shadow = Catalog(s, _root(s)), replace(O, table_name="shadow")
+    m, o = Maintenance(catalog, O_DAY), orders(s, d)
+    m.create(O, o)
+    m.create(shadow, o.where(_BEHIND).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") - 1).otherwise(F.col("o_totalprice")).cast(o.schema["o_totalprice"].dataType)))
+    m.run_table(shadow)
+    m.sync("orders", shadow, "o_totalprice")
+    return catalog.read("shadow").select("o_orderkey", "o_totalprice")
+
+
 # moves and paging
 _CUR = ["o_orderdate", "o_orderkey"]
 

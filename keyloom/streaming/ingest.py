@@ -32,9 +32,12 @@ def append_batch(catalog: Catalog, config: TableConfig, batch: DataFrame, today:
         lo, hi = batch.agg(F.min(key).cast("string"), F.max(key).cast("string")).first()
         stored = [] if lo is None else catalog.meeting(t, lo, hi)
     fresh = fresh_rows(batch, catalog.read(t, children=stored, version=m["version"]), list(config.conflict_key), list(config.cursor))
-    segments = catalog.attached(t)
-    stats = catalog.write_rows(t, route(fresh, config, segments, today))
     default = f"{t}_{DEFAULT}"
+    if config.child is not None and config.layout not in ("list_split", "hash_branches"):
+        routed = fresh.withColumn("child", F.lit(default))  # bounds of two levels: maintenance routes them, with both plans
+    else:
+        routed = route(fresh, config, catalog.attached(t), today)
+    stats = catalog.write_rows(t, routed)
     for child, s in stats.items():
         name = child if child in m["children"] else default
         old = m["children"].get(name) or catalog.child_entry(Segment(default, None, None, DEFAULT), None, default=True)

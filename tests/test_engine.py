@@ -12,6 +12,7 @@ from keyloom.plans import config as cfg
 from keyloom.plans.layout import build_plan
 from keyloom.plans.maintain import Maintenance, RunFailed
 from keyloom.sources.catalog import Catalog, LockNotAcquired
+from keyloom.streaming.ingest import append_batch
 
 TODAY = date(2026, 7, 5)
 C = cfg.sliding_monthly("w", "occurred_on", ("id", "occurred_on"), split_row_threshold=2)
@@ -207,3 +208,58 @@ def test_a_crash_before_the_rename_leaves_the_last_manifest(spark, tmp_path):
     cat.register("w", rows(spark).schema, "occurred_on")
     (tmp_path / "w" / "manifest" / ".000000001.json-dead").write_text("{")
     assert cat.manifest("w")["version"] == 0 and cat.commit("w", cat.manifest("w"), 0) == 1
+
+
+def test_cutover_renames_children_and_back(spark, tmp_path):
+    cat, c = Catalog(spark, str(tmp_path)), cfg.sliding_monthly("w_shadow", "occurred_on", ("id", "occurred_on"), split_row_threshold=2)
+    m = Maintenance(cat, TODAY)
+    m.create(C, rows(spark, TODAY, None))
+    m.create(c, rows(spark, TODAY, date(2024, 6, 1), None))
+    m.run_table(c)
+    m.run_table(C)
+    before = {t: {r.child: r.rows for r in cat.children_df(t).collect()} for t in ("w", "w_shadow")}
+    cat.set_read_only("w", True)
+    cat.switch("w", "w_shadow")
+    cat.switch("w", "w_shadow")
+    live = {r.child: r.rows for r in cat.children_df("w").collect()}
+    assert live == {k.replace("w_shadow", "w"): n for k, n in before["w_shadow"].items()}
+    assert {r.child for r in cat.children_df("w_old").collect()} == {"w_old" + k[1:] for k in before["w"]}
+    assert m.rebalance(C)[2] is False or cat.read("w").count() == 3
+    assert {r.child: r.rows for r in cat.children_df("w").collect()} == live
+    cat.unswitch("w", "w_shadow")
+    cat.unswitch("w", "w_shadow")
+    assert {t: {r.child: r.rows for r in cat.children_df(t).collect()} for t in ("w", "w_shadow")} == before
+
+
+def test_sync_commits_the_delta_once(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path))
+    m, c = Maintenance(cat, TODAY), cfg.sliding_monthly("s", "occurred_on", ("id", "occurred_on"))
+    schema = "id long, occurred_on date, version long"
+    live = [(1, TODAY, 2), (2, TODAY, 1), (3, date(2026, 6, 1), 1), (4, date(2020, 1, 1), 9), (5, date(2026, 8, 1), 1)]
+    m.create(cfg.sliding_monthly("l", "occurred_on", ("id", "occurred_on")), spark.createDataFrame(live, schema))
+    m.create(c, spark.createDataFrame([(1, TODAY, 1), (2, TODAY, 3), (4, date(2020, 1, 1), 1), (6, None, 1)], schema))
+    m.run_table(c)
+    assert m.sync("l", c, "version") == 3 and m.sync("l", c, "version") == 0
+    assert sorted((r.id, r.version) for r in cat.read("s").collect()) == [(1, 2), (2, 3), (3, 1), (4, 1), (5, 1), (6, 1)]
+
+
+def test_future_months_never_overlap(spark, tmp_path):
+    cat, seen = Catalog(spark, str(tmp_path)), []
+    m = Maintenance(cat, TODAY, lambda message, context: seen.append(message))
+    m.create(C, rows(spark, TODAY))
+    assert m.ensure_future(C, 4) == [f"w_2026_{i:02d}" for i in range(7, 12)] and seen == ["many_months_ahead"]
+    assert m.ensure_future(C) == [] and not any("overlap" in g.message for g in m.audit(C).gaps)
+    other = cfg.sliding_monthly("v", "occurred_on", ("id", "occurred_on"))
+    m.create(other, rows(spark, TODAY))
+    m.run_table(other)
+    assert m.ensure_future(other) == []
+
+
+def test_batches_of_range_composites_wait_in_default(spark, tmp_path):
+    cat, c = Catalog(spark, str(tmp_path)), cfg.composite_range_hash("x", "occurred_on", "id", modulus=2, conflict=("id", "occurred_on"))
+    m = Maintenance(cat, TODAY)
+    m.create(c, rows(spark, TODAY))
+    m.run_table(c)
+    assert append_batch(cat, c, spark.createDataFrame([(9, TODAY)], "id long, occurred_on date"), TODAY) == 1
+    m.run_table(c)
+    assert cat.read("x").count() == 2 and cat.manifest("x")["children"]["x_default"]["rows"] == 0
