@@ -192,7 +192,9 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     apart = lambda taken, x: ~F.exists(taken, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
     # taken is bound outside the lambda: inside, the optimiser would put the patterns of all base spans into each test
-    loose = {kind: let(taken, lambda t, p=pattern: F.filter(matches(body, p), lambda x: apart(t, x))) for kind, pattern in LOOSE.items()}
+    # one parameter only: a second one would be given the element's index
+    free = lambda pattern: lambda t: F.filter(matches(body, pattern), lambda x: apart(t, x))
+    loose = {kind: let(taken, free(pattern)) for kind, pattern in LOOSE.items()}
     out = out.withColumns({f"__loose_{kind}": F.when(hints[kind], spans).otherwise(none) for kind, spans in loose.items()})
     parts = [_base_spans(F.col(f"__{k}"), k) for k in BASE] + [_labelled(body, F.col(f"__loose_{k}"), k) for k in LOOSE]
     out = out.withColumn("__found", F.concat(*parts))
