@@ -69,12 +69,12 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return arrow(rows, run, schema)
 
 
-def masks(n: int) -> list[int]:
-    """Signed masks of the bucket keys for n fingerprints."""
-    b = next((b for b in range(RADIUS + 2, 13) if n <= BUCKET << (BITS * (b - RADIUS) // b)), 13)
+def masks(n: int, radius: int = RADIUS, bucket: int = BUCKET) -> list[int]:
+    """Signed masks of the bucket keys for n fingerprints, of which a bucket is to hold `bucket` at most."""
+    b = next((b for b in range(radius + 2, radius + 9) if n <= bucket << (BITS * (b - radius) // b)), radius + 9)
     edges = [BITS * i // b for i in range(b + 1)]
     block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(b)]
-    out = [sum(block[i] for i in chosen) for chosen in combinations(range(b), b - RADIUS)]
+    out = [sum(block[i] for i in chosen) for chosen in combinations(range(b), b - radius)]
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 

@@ -1,19 +1,24 @@
-"""Near-duplicates by exact shingle similarity: prefix filter, then verification of every candidate pair.
+"""Near-duplicates by SimHash and pigeonhole blocks, every link verified; a prefix filter brings the links beyond the blocks' reach.
 
 Two documents are linked if the Jaccard similarity of their sets of SHINGLE-word shingles (lower-cased in ASCII) is
-SIMILARITY or more. A 64-bit SimHash can't find these: at 0.8 the distance is 10 bits in the mean and reaches over 18, and
-within so many bits blocks of 64 bits select nothing. Candidates come from a filter that loses no pair instead: in any
-fixed order of all shingles, two sets of similarity s share one of their first n - ceil(s n) + 1 shingles. The order is by
-hash, with shingles that are common in a sample of documents last; the sample decides speed, never the result. At the
+SIMILARITY or more. First, the SimHash of a set is the bitwise majority of its shingles' hashes. Fingerprints within RADIUS bits
+agree on at least BLOCKS - RADIUS of BLOCKS blocks, so all such pairs meet in buckets keyed by as many blocks; a bucket's spanning
+forest gives candidates, never all pairs, and those that reach the similarity are links.
+
+At a similarity of 0.8 fingerprints differ in 10 bits in the mean and in over 18 at times, and within so many bits blocks of 64
+bits select nothing. So what may be linked beyond RADIUS comes from a filter that loses no pair, for documents still in different
+components: in any fixed order of all shingles, two sets of similarity s share one of their first n - ceil(s n) + 1 shingles. The
+order is by hash, with shingles that are common in a sample of documents last; the sample decides speed, never the result. At the
 first shingle that two sets share, only what follows it can be shared as well: pairs for which that is too little go.
 
 Most candidates that merely share a passage go before sets travel: two sets differ in at least as many shingles as the counts
 of their hashes by ranges do, added up, and a sketch of these counts has a thirtieth of the set's bytes. Sets themselves are
 never stored: those of the few documents in candidate pairs are hashed again from their texts.
 
-Documents of equal sets are one from the start. Buckets of one shingle are verified against a hub each first; the pairs of
-a bucket that these links leave in different components are then all verified, so no link between components is lost and a
-large group of copies needs no pairs of all with all.
+Documents of equal sets are one from the start. In large buckets of one shingle each document first meets the few whose fingerprints
+are nearest; then all pairs of a bucket that still lie in different components are verified, so no link between components is lost
+and a large group of copies needs no pairs of all with all. A pair that shares several buckets is tested in few: each row names the buckets before its own, and where
+both rows name the same one the pair is left to that.
 
 Defined results: a text of fewer than SHINGLE words has one shingle, the whole; null, blank and empty texts have none and are
 one group; rows equal in id and text are one row, and null ids come last; extra columns are kept; an empty table gives an
@@ -33,16 +38,20 @@ from pyspark.sql import functions as F
 
 from .base import arrow, fits_broadcast, staged, unused
 from .graph import components
+from .simhash import masks
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Documents in the sample for common shingles (at least so many, or one in so many), in how many of them a shingle is common,
 #: and common shingles at most.
 SAMPLE, SHARE, COMMON, MAX_COMMON = 10_000, 50, 3, 100_000
-#: Rounds of hubs before all pairs, and the bucket size up to which a bucket waits for all pairs.
-ROUNDS, SMALL = 2, 8
+#: Bits within which blocks find pairs, and fingerprints expected in a bucket of blocks at most: ten blocks up to 16 million sets.
+RADIUS, BUCKET = 8, 4096
+#: The bucket size of one shingle up to which all pairs come at once, how many of the nearest come first in larger ones, and earlier
+#: buckets that a row names.
+SMALL, NEAREST, BEFORE = 8, 3, 3
 #: Documents whose texts are read again by a broadcast list of their ids; more are found by a shuffle.
 MAX_BROADCAST = 200_000
-_SLICE, SEED = 500, 42
+_SLICE, _CHUNK, SEED = 500, 1 << 15, 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.Generator(np.random.PCG64(58))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -103,6 +112,15 @@ def may_reach(x: bytes, y: bytes, n_x: int, n_y: int, similarity: float) -> bool
     return int(np.abs(a - b).sum()) * (1 + similarity) <= (1 - similarity) * (n_x + n_y) + 1e-6
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash of a set of hashes: each bit as in the majority of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(own), _CHUNK):
+        part = np.ascontiguousarray(own[at : at + _CHUNK])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(own), bitorder="little").view(np.uint64)[0])
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, _SLICE):
@@ -137,11 +155,11 @@ def _common(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
 
 
-_PREFIXED = "id long, mark long, sig long, n int, sketch binary, prefix array<long>"
+_PREFIXED = "id long, mark long, sig long, n int, sketch binary, fp long, prefix array<long>"
 
 
 def _prefixed(rows: DataFrame, common: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(id, mark, body) -> (id, mark, sig, n, sketch, prefix): the hash of the set, its size, its sketch and its first shingles.
+    """(id, mark, body) -> (id, mark, sig, n, sketch, fp, prefix): the hash of the set, its size, sketch, SimHash and first shingles.
 
     Equal sets of one task give their prefix once, so a group of copies costs a bucket one row a task.
     """
@@ -149,29 +167,31 @@ def _prefixed(rows: DataFrame, common: np.ndarray, shingle: int, similarity: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _slices(batches):
-            sigs, sizes, sketches, firsts = [], [], [], []
+            sigs, sizes, sketches, fps, firsts = [], [], [], [], []
             for x in batch.column(2):
                 own = shingle_set(x.as_py(), shingle)
                 sig = xxhash.xxh64_intdigest(own.tobytes(), SEED)
                 sigs.append(sig)
                 sizes.append(len(own))
                 sketches.append(sketch(own))
+                fps.append(fingerprint(own))
                 firsts.append(None if sig in seen else prefix(own, common, similarity).view(np.int64))
                 seen.add(sig)
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(sigs, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "sig", "n", "sketch", "prefix"])
+            sig, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sigs, fps))
+            columns = [batch.column(0), batch.column(1), sig, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), fp, pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "sig", "n", "sketch", "fp", "prefix"])
 
     return arrow(rows, run, _PREFIXED)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Rows sorted by their first column -> stretches of whole groups of it. Holds one group and one batch."""
+def _groups(batches: Iterator[pa.RecordBatch], by: int = 1) -> Iterator[np.ndarray]:
+    """Rows sorted by their first `by` columns -> stretches of whole groups of them. Holds one group and one batch."""
     rest = None
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
         rows = rows if rest is None else np.concatenate((rest, rows))
         if len(rows):
-            cut = int(np.flatnonzero(rows[:, 0] == rows[-1, 0])[0])
+            cut = int(np.flatnonzero((rows[:, :by] == rows[-1, :by]).all(axis=1))[0])
             rest = rows[cut:]
             if cut:
                 yield rows[:cut]
@@ -179,12 +199,52 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield rest
 
 
+def _near_links(sigs: np.ndarray, fps: np.ndarray) -> list[np.ndarray]:
+    """A spanning forest of the pairs of a bucket within RADIUS bits, as arrays of two signatures a row."""
+    left, out = np.arange(len(fps)), []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            near = np.bitwise_count(fps[left] ^ fps[x]) <= RADIUS
+            if near.any():
+                hit, left = left[near], left[~near]
+                out.append(np.column_stack((np.minimum(sigs[hit], sigs[x]), np.maximum(sigs[hit], sigs[x]))))
+                front += hit.tolist()
+    return out
+
+
+def _near(sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a spanning forest of each bucket of blocks. sets: staged rows (sig, fp), each set once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 2):
+            new = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1))))
+            fp, found = np.ascontiguousarray(rows[:, 3]).view(np.uint64), []
+            for at, size in zip(new.tolist(), np.diff(np.concatenate((new, [len(rows)]))).tolist()):
+                own = fp[at : at + size]
+                # most buckets hold no pair; large ones find out as they go
+                if size > 1 and (size > 64 or (np.bitwise_count(own[:, None] ^ own) <= RADIUS).sum() > size):
+                    found += _near_links(rows[at : at + size, 2], own)
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    keys = [F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks(sets.count(), RADIUS, BUCKET))]
+    rows = sets.select(F.explode(F.array(*keys)).alias("key"), "sig", "fp").select("key.k", "key.v", "sig", "fp")
+    return arrow(rows.repartition("k", "v").sortWithinPartitions("k", "v"), run, "a long, b long").distinct()
+
+
 #: place: the set's size (its upper 32 bits) and where the shingle stands in its prefix (the lower 32).
 _BUCKET = "k long, sig long, place long"
+_NAMED = [f"before_{d}" for d in range(1, BEFORE + 1)]
 
 
-def _buckets(prefixed: DataFrame) -> DataFrame:
-    """(k, sig, place) of the prefix shingles that at least two sets hold, each set once."""
+def _buckets(prefixed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(k, sig, place, fp, before...) of the prefix shingles that at least two sets hold, each set once.
+
+    before: such shingles ahead of k in the set's prefix. firsts: (sig, fp) of all sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
@@ -193,14 +253,31 @@ def _buckets(prefixed: DataFrame) -> DataFrame:
             rows = rows[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], names=["k", "sig", "place"])
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            sig, place, k = rows.T
+            head = place < 0  # a set's first row has its fingerprint in place of a shingle
+            fp = k[head][np.cumsum(head) - 1]
+            names = np.where(head, sig, k)  # a signature names no bucket, and differs in any two sets
+            columns = [k, sig, place, fp]
+            for d in range(1, BEFORE + 1):
+                x = sig.copy()
+                x[d:] = np.where(sig[d:] == sig[:-d], names[:-d], sig[d:])
+                columns.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~head]) for x in columns], names=["k", "sig", "place", "fp", *_NAMED])
+
     keys = prefixed.select("sig", "n", F.posexplode("prefix").alias("at", "k")).select("k", "sig", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
-    return arrow(keys.repartition("k").sortWithinPartitions("k", "sig"), run, _BUCKET)
+    shared = arrow(keys.repartition("k").sortWithinPartitions("k", "sig"), run, _BUCKET)
+    heads = firsts.select("sig", F.lit(-1).cast("long").alias("place"), F.col("fp").alias("k"))
+    dealt = shared.select("sig", "place", "k").union(heads).repartition("sig").sortWithinPartitions("sig", "place")
+    return arrow(dealt, named, ", ".join([_BUCKET, *(f"{x} long" for x in ("fp", *_NAMED))]))
 
 
-def _candidates(labelled: DataFrame, hubs: bool, turn: int, similarity: float) -> DataFrame:
+def _candidates(labelled: DataFrame, nearest: bool, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of one bucket and different roots, whose sizes and places allow the similarity.
 
-    hubs: in buckets over SMALL only the pairs with one member, another one each turn.
+    nearest: in buckets over SMALL only the NEAREST by fingerprint of each set. A pair is left to an earlier bucket that both rows
+    name: its places there allow at least as much, and all pairs of each bucket come in one of the two rounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,27 +285,31 @@ def _candidates(labelled: DataFrame, hubs: bool, turn: int, similarity: float) -
             new = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
             found = []
             for at, size in zip(new.tolist(), np.diff(np.concatenate((new, [len(rows)]))).tolist()):
-                sig, place, root = rows[at : at + size, 1], rows[at : at + size, 2], rows[at : at + size, 3]
-                if (root == root[0]).all():
+                own = rows[at : at + size]
+                if (own[:, 3] == own[0, 3]).all():
                     continue
-                n = place >> 32
-                left = n - (place & 0xFFFFFFFF)  # the shingle and those after it
-                if hubs and size > SMALL:
-                    mixed = (sig.view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)
-                    firsts = [int(np.argmin(mixed))]
-                else:
-                    firsts = range(size)
-                for i in firsts:
-                    other = np.arange(size) if hubs and size > SMALL else np.arange(i + 1, size)
+                _, which, count = np.unique(own[:, 3], return_inverse=True, return_counts=True)
+                last = which == np.argmax(count)  # the largest component needs no pairs of its own
+                own = own[np.argsort(last, kind="stable")]
+                sig, root, fp, before = own[:, 1], own[:, 3], own[:, 4], own[:, 5:]
+                n = own[:, 2] >> 32
+                left = n - (own[:, 2] & 0xFFFFFFFF)  # the shingle and those after it
+                few = nearest and size > SMALL
+                for i in range(size - int(last.sum())):
+                    other = np.arange(0 if few else i + 1, size)
                     able = np.minimum(left[other], left[i]) * (1 + similarity) >= similarity * (n[other] + n[i]) - 1e-6
                     ok = other[(root[other] != root[i]) & able]
+                    ok = ok[~(before[ok][:, :, None] == before[i]).any(axis=(1, 2))]
+                    if few and len(ok) > NEAREST:
+                        far = np.bitwise_count((fp[ok] ^ fp[i]).view(np.uint64))
+                        ok = ok[np.argpartition(far, NEAREST)[:NEAREST]]
                     if len(ok):
                         found.append(np.column_stack((np.minimum(sig[ok], sig[i]), np.maximum(sig[ok], sig[i]))))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return arrow(labelled.select("k", "sig", "place", "root").repartition("k").sortWithinPartitions("k"), run, "a long, b long").distinct()
+    return arrow(labelled.select("k", "sig", "place", "root", "fp", *_NAMED).repartition("k").sortWithinPartitions("k"), run, "a long, b long").distinct()
 
 
 def _able(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -272,27 +353,27 @@ def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, shingle: int
 
 def similar_components(prefixed: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(sig, root) of the sets that are linked to another. prefixed: staged rows of _prefixed; rows: what they were made from."""
-    buckets = staged(_buckets(prefixed), "similar-buckets")
-    members = buckets.select("sig").distinct()
-    own = prefixed.select("sig", "id", "mark", "n", "sketch").join(members, "sig", "left_semi")
-    firsts = staged(own.groupBy("sig").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("sig", "f.id", "f.mark", "n", "sketch"), "similar-sketches")
-    links, roots = None, None
-    for turn in range(ROUNDS + 1):
-        labelled = buckets.withColumn("root", F.col("sig"))
-        if roots is not None:
-            # in small buckets all pairs are done; large ones go on while they hold several components
-            labelled = buckets.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-            several = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("size") > SMALL) & (F.col("lo") != F.col("hi")))
-            labelled = staged(labelled.join(several.select("k"), "k", "left_semi"), "similar-large")
-            if labelled.isEmpty():
-                break
-            buckets = labelled.drop("root")
-        pairs = staged(_able(_candidates(labelled, turn < ROUNDS, turn, similarity), firsts, similarity), "similar-pairs")
-        if turn and pairs.isEmpty():
-            continue
-        found = staged(_verified(pairs, firsts, rows, shingle, similarity), "similar-links")
-        links = found if links is None else links.union(found)
-        roots = staged(components(links).select(F.col("node").alias("sig"), "root"), "similar-roots")
+    rank = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("f")
+    once = prefixed.groupBy("sig").agg(rank, *(F.first(x).alias(x) for x in ("n", "sketch", "fp")))
+    firsts = staged(once.select("sig", "f.id", "f.mark", "n", "sketch", "fp"), "similar-sketches")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return staged(_verified(staged(_able(pairs, firsts, similarity), "similar-pairs"), firsts, rows, shingle, similarity), "similar-links")
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return staged(components(links).select(F.col("node").alias("sig"), "root"), "similar-roots")
+
+    links = linked(_near(firsts.select("sig", "fp")))
+    roots = rooted(links)
+    buckets = staged(_buckets(prefixed, firsts), "similar-buckets")
+    for nearest in (True, False):
+        # buckets go on while they hold several components; in small ones all pairs are done in the first round
+        labelled = buckets.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        several = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
+        several = several if nearest else several.where(F.col("size") > SMALL)
+        pairs = _candidates(labelled.join(several.select("k"), "k", "left_semi"), nearest, similarity)
+        links = links.union(linked(pairs))
+        roots = rooted(links)
     return roots
 
 
