@@ -11,14 +11,16 @@ components: in any fixed order of all shingles, two sets of similarity s share o
 order is by hash, with shingles that are common in a sample of documents last; the sample decides speed, never the result. At the
 first shingle that two sets share, only what follows it can be shared as well: pairs for which that is too little go.
 
-Most candidates that merely share a passage go before sets travel: two sets differ in at least as many shingles as the counts
-of their hashes by ranges do, added up, and a sketch of these counts has a thirtieth of the set's bytes. Sets themselves are
-never stored: those of the few documents in candidate pairs are hashed again from their texts.
+Most candidates that merely share a passage go before they become rows: each set brings BITS parities of its hashes into a bucket, and
+two sets differ in at least as many shingles as parities do. With some hundred shingles that is nearly their difference, so of a group
+of near copies only pairs that are linked or just miss it leave the bucket. Of sets too large for that many go by a sketch: they also
+differ in as many shingles as the counts of their hashes by ranges do, added up, and these counts have a thirtieth of the set's
+bytes. Sets themselves are never stored: those of the few documents in candidate pairs are hashed again from their texts.
 
-Documents of equal sets are one from the start. In large buckets of one shingle each document first meets the few whose fingerprints
-are nearest; then all pairs of a bucket that still lie in different components are verified, so no link between components is lost
-and a large group of copies needs no pairs of all with all. A pair that shares several buckets is tested in few: each row names the buckets before its own, and where
-both rows name the same one the pair is left to that.
+Documents of equal sets are one from the start. In large buckets of one shingle each document first meets the few of other components
+whose parities are nearest; then all pairs of a bucket that still lie in different components and may be linked are verified, so no
+link between components is lost and a large group of copies needs no pairs of all with all. A pair that shares several buckets is
+tested in few: each row names the buckets before its own, and where both rows name the same one the pair is left to that.
 
 Defined results: a text of fewer than SHINGLE words has one shingle, the whole; null, blank and empty texts have none and are
 one group; rows equal in id and text are one row, and null ids come last; extra columns are kept; an empty table gives an
@@ -49,6 +51,8 @@ RADIUS, BUCKET = 8, 4096
 #: The bucket size of one shingle up to which all pairs come at once, how many of the nearest come first in larger ones, and earlier
 #: buckets that a row names.
 SMALL, NEAREST, BEFORE = 8, 3, 3
+#: Parities of a set, a multiple of 64. Sets of over about BITS shingles are told apart by their sketches rather.
+BITS = 1024
 #: Documents whose texts are read again by a broadcast list of their ids; more are found by a shuffle.
 MAX_BROADCAST = 200_000
 _SLICE, _CHUNK, SEED = 500, 1 << 15, 42
@@ -112,6 +116,12 @@ def may_reach(x: bytes, y: bytes, n_x: int, n_y: int, similarity: float) -> bool
     return int(np.abs(a - b).sum()) * (1 + similarity) <= (1 - similarity) * (n_x + n_y) + 1e-6
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each of BITS classes of hashes holds an odd number of the set's. Two sets' differ in no more bits than the sets in hashes."""
+    odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def fingerprint(own: np.ndarray) -> int:
     """The SimHash of a set of hashes: each bit as in the majority of them."""
     counts = np.zeros(64, np.int64)
@@ -155,11 +165,11 @@ def _common(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
 
 
-_PREFIXED = "id long, mark long, sig long, n int, sketch binary, fp long, prefix array<long>"
+_PREFIXED = "id long, mark long, sig long, n int, sketch binary, fp long, bits array<long>, prefix array<long>"
 
 
 def _prefixed(rows: DataFrame, common: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(id, mark, body) -> (id, mark, sig, n, sketch, fp, prefix): the hash of the set, its size, sketch, SimHash and first shingles.
+    """(id, mark, body) -> (id, mark, sig, n, sketch, fp, bits, prefix): the hash of the set, its size, sketch, SimHash, parities and first shingles.
 
     Equal sets of one task give their prefix once, so a group of copies costs a bucket one row a task.
     """
@@ -167,7 +177,7 @@ def _prefixed(rows: DataFrame, common: np.ndarray, shingle: int, similarity: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in _slices(batches):
-            sigs, sizes, sketches, fps, firsts = [], [], [], [], []
+            sigs, sizes, sketches, fps, bits, firsts = [], [], [], [], [], []
             for x in batch.column(2):
                 own = shingle_set(x.as_py(), shingle)
                 sig = xxhash.xxh64_intdigest(own.tobytes(), SEED)
@@ -175,20 +185,22 @@ def _prefixed(rows: DataFrame, common: np.ndarray, shingle: int, similarity: flo
                 sizes.append(len(own))
                 sketches.append(sketch(own))
                 fps.append(fingerprint(own))
+                bits.append(parities(own).view(np.int64))
                 firsts.append(None if sig in seen else prefix(own, common, similarity).view(np.int64))
                 seen.add(sig)
             sig, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sigs, fps))
-            columns = [batch.column(0), batch.column(1), sig, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), fp, pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "sig", "n", "sketch", "fp", "prefix"])
+            columns = [batch.column(0), batch.column(1), sig, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), fp, *(pa.array(x, pa.list_(pa.int64())) for x in (bits, firsts))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "sig", "n", "sketch", "fp", "bits", "prefix"])
 
     return arrow(rows, run, _PREFIXED)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: int = 1) -> Iterator[np.ndarray]:
-    """Rows sorted by their first `by` columns -> stretches of whole groups of them. Holds one group and one batch."""
+    """Rows sorted by their first `by` columns -> stretches of whole groups of them. Holds one group and one batch. Lists are parities."""
     rest = None
     for batch in batches:
-        rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        plain = [c.flatten().to_numpy().reshape(-1, BITS // 64) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = np.column_stack([c.astype(np.int64, copy=False) for c in plain])
         rows = rows if rest is None else np.concatenate((rest, rows))
         if len(rows):
             cut = int(np.flatnonzero((rows[:, :by] == rows[-1, :by]).all(axis=1))[0])
@@ -240,10 +252,10 @@ _BUCKET = "k long, sig long, place long"
 _NAMED = [f"before_{d}" for d in range(1, BEFORE + 1)]
 
 
-def _buckets(prefixed: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(k, sig, place, fp, before...) of the prefix shingles that at least two sets hold, each set once.
+def _buckets(prefixed: DataFrame) -> DataFrame:
+    """(k, sig, place, before...) of the prefix shingles that at least two sets hold, each set once.
 
-    before: such shingles ahead of k in the set's prefix. firsts: (sig, fp) of all sets.
+    before: such shingles ahead of k in the set's prefix.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,27 +268,23 @@ def _buckets(prefixed: DataFrame, firsts: DataFrame) -> DataFrame:
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
             sig, place, k = rows.T
-            head = place < 0  # a set's first row has its fingerprint in place of a shingle
-            fp = k[head][np.cumsum(head) - 1]
-            names = np.where(head, sig, k)  # a signature names no bucket, and differs in any two sets
-            columns = [k, sig, place, fp]
+            columns = [k, sig, place]
             for d in range(1, BEFORE + 1):
-                x = sig.copy()
-                x[d:] = np.where(sig[d:] == sig[:-d], names[:-d], sig[d:])
+                x = sig.copy()  # a signature names no bucket, and differs in any two sets
+                x[d:] = np.where(sig[d:] == sig[:-d], k[:-d], sig[d:])
                 columns.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x[~head]) for x in columns], names=["k", "sig", "place", "fp", *_NAMED])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "sig", "place", *_NAMED])
 
     keys = prefixed.select("sig", "n", F.posexplode("prefix").alias("at", "k")).select("k", "sig", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
     shared = arrow(keys.repartition("k").sortWithinPartitions("k", "sig"), run, _BUCKET)
-    heads = firsts.select("sig", F.lit(-1).cast("long").alias("place"), F.col("fp").alias("k"))
-    dealt = shared.select("sig", "place", "k").union(heads).repartition("sig").sortWithinPartitions("sig", "place")
-    return arrow(dealt, named, ", ".join([_BUCKET, *(f"{x} long" for x in ("fp", *_NAMED))]))
+    dealt = shared.select("sig", "place", "k").repartition("sig").sortWithinPartitions("sig", "place")
+    return arrow(dealt, named, ", ".join([_BUCKET, *(f"{x} long" for x in _NAMED)]))
 
 
 def _candidates(labelled: DataFrame, nearest: bool, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket and different roots, whose sizes and places allow the similarity.
+    """Distinct pairs (a, b) of one bucket and different roots, whose sizes, places and parities allow the similarity.
 
-    nearest: in buckets over SMALL only the NEAREST by fingerprint of each set. A pair is left to an earlier bucket that both rows
+    nearest: in buckets over SMALL only the NEAREST by parities of each set. A pair is left to an earlier bucket that both rows
     name: its places there allow at least as much, and all pairs of each bucket come in one of the two rounds.
     """
 
@@ -291,7 +299,8 @@ def _candidates(labelled: DataFrame, nearest: bool, similarity: float) -> DataFr
                 _, which, count = np.unique(own[:, 3], return_inverse=True, return_counts=True)
                 last = which == np.argmax(count)  # the largest component needs no pairs of its own
                 own = own[np.argsort(last, kind="stable")]
-                sig, root, fp, before = own[:, 1], own[:, 3], own[:, 4], own[:, 5:]
+                sig, root, before = own[:, 1], own[:, 3], own[:, 4 : 4 + BEFORE]
+                bits = np.ascontiguousarray(own[:, 4 + BEFORE :]).view(np.uint64)
                 n = own[:, 2] >> 32
                 left = n - (own[:, 2] & 0xFFFFFFFF)  # the shingle and those after it
                 few = nearest and size > SMALL
@@ -300,8 +309,10 @@ def _candidates(labelled: DataFrame, nearest: bool, similarity: float) -> DataFr
                     able = np.minimum(left[other], left[i]) * (1 + similarity) >= similarity * (n[other] + n[i]) - 1e-6
                     ok = other[(root[other] != root[i]) & able]
                     ok = ok[~(before[ok][:, :, None] == before[i]).any(axis=(1, 2))]
+                    far = np.bitwise_count(bits[ok] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    near = far * (1 + similarity) <= (1 - similarity) * (n[ok] + n[i]) + 1e-6
+                    ok, far = ok[near], far[near]
                     if few and len(ok) > NEAREST:
-                        far = np.bitwise_count((fp[ok] ^ fp[i]).view(np.uint64))
                         ok = ok[np.argpartition(far, NEAREST)[:NEAREST]]
                     if len(ok):
                         found.append(np.column_stack((np.minimum(sig[ok], sig[i]), np.maximum(sig[ok], sig[i]))))
@@ -309,7 +320,7 @@ def _candidates(labelled: DataFrame, nearest: bool, similarity: float) -> DataFr
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return arrow(labelled.select("k", "sig", "place", "root", "fp", *_NAMED).repartition("k").sortWithinPartitions("k"), run, "a long, b long").distinct()
+    return arrow(labelled.select("k", "sig", "place", "root", *_NAMED, "bits").repartition("k").sortWithinPartitions("k"), run, "a long, b long").distinct()
 
 
 def _able(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
@@ -354,8 +365,8 @@ def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, shingle: int
 def similar_components(prefixed: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(sig, root) of the sets that are linked to another. prefixed: staged rows of _prefixed; rows: what they were made from."""
     rank = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "mark")).alias("f")
-    once = prefixed.groupBy("sig").agg(rank, *(F.first(x).alias(x) for x in ("n", "sketch", "fp")))
-    firsts = staged(once.select("sig", "f.id", "f.mark", "n", "sketch", "fp"), "similar-sketches")
+    once = prefixed.groupBy("sig").agg(rank, *(F.first(x).alias(x) for x in ("n", "sketch", "fp", "bits")))
+    firsts = staged(once.select("sig", "f.id", "f.mark", "n", "sketch", "fp", "bits"), "similar-sketches")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return staged(_verified(staged(_able(pairs, firsts, similarity), "similar-pairs"), firsts, rows, shingle, similarity), "similar-links")
@@ -365,13 +376,14 @@ def similar_components(prefixed: DataFrame, rows: DataFrame, shingle: int = SHIN
 
     links = linked(_near(firsts.select("sig", "fp")))
     roots = rooted(links)
-    buckets = staged(_buckets(prefixed, firsts), "similar-buckets")
+    buckets = staged(_buckets(prefixed), "similar-buckets")
     for nearest in (True, False):
         # buckets go on while they hold several components; in small ones all pairs are done in the first round
         labelled = buckets.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         several = labelled.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi"))
         several = several if nearest else several.where(F.col("size") > SMALL)
-        pairs = _candidates(labelled.join(several.select("k"), "k", "left_semi"), nearest, similarity)
+        unsettled = labelled.join(several.select("k"), "k", "left_semi").join(firsts.select("sig", "bits"), "sig")
+        pairs = _candidates(unsettled, nearest, similarity)
         links = links.union(linked(pairs))
         roots = rooted(links)
     return roots

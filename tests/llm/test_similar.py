@@ -134,3 +134,39 @@ def test_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     root = brute(texts)
     between = sum(a != b for i, a in enumerate(root) for b in root[:i])
     assert kept == set(root) and sum(made) <= 2 * between + 20 * len(texts), (made, between)
+
+
+def test_parities_lose_no_pair_and_are_tight():
+    total = np.zeros(2)
+    for _ in range(1000):
+        a = np.unique(np.array([RNG.getrandbits(64) for _ in range(RNG.choice((1, 4, 30, 300, 3000)))], np.uint64))
+        fresh = np.array([RNG.getrandbits(64) for _ in range(RNG.randint(0, 1 + len(a) // 3))], np.uint64)
+        b = np.unique(np.concatenate((a[[RNG.random() < 0.93 for _ in a]], fresh)))
+        differ = int(np.bitwise_count(similar.parities(a) ^ similar.parities(b)).sum())
+        apart = len(np.setxor1d(a, b))
+        assert differ <= apart
+        total += (differ, apart) if len(a) <= 300 else 0
+    assert total[0] > 0.8 * total[1]
+    assert similar.parities(np.empty(0, np.uint64)).tolist() == [0] * (similar.BITS // 64)
+
+
+def test_near_copies_that_just_miss_make_few_pairs(spark, monkeypatch):
+    """Near copies of one text that mostly aren't linked to one another: rows are made for pairs near the similarity, not for all."""
+    base, made, arrow = prose(120), [], similar.arrow
+    texts = [changed(base, RNG.choice((1, 2, 3))) for _ in range(160)]
+
+    def counted(df, run, schema):
+        out = arrow(df, run, schema)
+        if schema == "a long, b long" and "s_a" not in df.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "arrow", counted)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], SCHEMA)
+    kept = {r.doc_id for r in similar.drop_similar(docs).collect()}
+    root, sets = brute(texts), [similar.shingle_set(t) for t in texts]
+    unlinked = [similar.jaccard(a, sets[j]) for i, a in enumerate(sets) for j in range(i) if root[i] != root[j]]
+    close = sum(x >= 0.77 for x in unlinked)
+    assert kept == set(root) and len(unlinked) > 20 * len(texts) > 20 * close
+    # the first list holds the forests of the blocks, linear by construction
+    assert sum(made[1:]) <= 2 * close + 4 * len(texts), (made, close, len(unlinked))
